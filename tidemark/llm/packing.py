@@ -37,7 +37,7 @@ class ByteBpe:
     """
 
     #: A blank beside a blank, or a blank other than space and newline.
-    ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+    ODD = re.compile("[" + "".join(map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 
     def __init__(self, ranks_file: str, remember: int = 250_000):
         import public_tokenizers
