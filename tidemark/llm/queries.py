@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, packing, secrets
+from tidemark.llm import language, mixing, packing, secrets
 from tidemark.llm._shared import table
 
 
@@ -22,10 +22,15 @@ def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op4(table(spark, sf_dir, "documents"))
 
 
+def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op7(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_vector_packing": op3_vector_packing,
         "op4_pareto_mix": op4_pareto_mix,
+        "op7_ppm_language": op7_ppm_language,
         "op8_secret_scan": op8_secret_scan,
     }
 
