@@ -1,16 +1,48 @@
-"""Corpus preparation: stages over `documents`, each written as Parquet and read again by the next."""
+"""Corpus preparation: stages over `documents`, each written as Parquet and read again by the next.
+
+language: texts without a letter, or without one language that most of the probability goes to, are dropped.
+near_duplicates: of each component of near copies (five-word shingles, similarity 0.8) the least id stays.
+secrets: found spans are masked; no document is dropped.
+mixing: sources are sampled to target weights; a document stays in as many copies as the mix takes of it.
+packing: the documents become pieces of sequences of at most 1024 tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import language, mixing, nearjoin, packing, secrets
+from tidemark.llm._shared import written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.accepted(docs, language.learn(docs, F.lit(True)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return nearjoin.deduplicated(docs)
+
 
-STAGES: list = []
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = secrets.redacted(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language", identify_language), ("near_duplicates", drop_near_duplicates), ("secrets", mask_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]
+#: Hashing, language statistics and tokenisation are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm._shared import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)

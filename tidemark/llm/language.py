@@ -133,6 +133,27 @@ def identify(docs: DataFrame, trees: dict[str, Tree], text: str = "text", keys:
     return picked.mapInArrow(run, f"{schema}, lang_pred string, score double, bits double")
 
 
+def accepted(docs: DataFrame, trees: dict[str, Tree], text: str = "text", least: float = 0.5, block_bytes: int = 4_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a letter and a language with a score of `least` or more (without any tree: a letter)."""
+    names, place, sent = list(trees), docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(list(trees.values()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = sent.value
+        for whole in batches:
+            for batch in weighted_blocks(iter([whole]), whole.schema.names[place], block_bytes):
+                texts = raw_texts(batch.column(place))
+                keep = [has_letter(t) for t in texts]
+                if names and any(keep):
+                    judged = [i for i, k in enumerate(keep) if k]
+                    found = code_lengths(trees, [texts[i] for i in judged])
+                    share = 1 / np.exp2(np.maximum(found.min(1)[:, None] - found, -1000)).sum(1)
+                    for i, s in zip(judged, share, strict=True):
+                        keep[i] = bool(s >= least)
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7(docs: DataFrame) -> DataFrame:
     held = crc_mod("doc_id", 5) == 0
     found = identify(docs, learn(docs, ~held))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, mixing, packing, secrets
+from tidemark.llm import language, mixing, nearjoin, packing, secrets
 from tidemark.llm._shared import table
 
 
@@ -26,8 +26,13 @@ def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op7(table(spark, sf_dir, "documents"))
 
 
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.op2(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_chosen_path": op2_chosen_path,
         "op3_vector_packing": op3_vector_packing,
         "op4_pareto_mix": op4_pareto_mix,
         "op7_ppm_language": op7_ppm_language,
