@@ -45,6 +45,7 @@ class ByteBpe:
 
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranks = ranks
         self.size = max(ranks.values()) + 1
         self.code = "<u2" if self.size <= 65536 else "<u4"
         self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, mixing, nearjoin, packing, secrets
+from tidemark.llm import fertility, language, lm, mixing, nearjoin, packing, secrets
 from tidemark.llm._shared import table
 
 
@@ -30,13 +30,23 @@ def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.op2(table(spark, sf_dir, "documents"))
 
 
+def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.op1(table(spark, sf_dir, "documents"))
+
+
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op9(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fertility_rules": op1_fertility_rules,
         "op2_chosen_path": op2_chosen_path,
         "op3_vector_packing": op3_vector_packing,
         "op4_pareto_mix": op4_pareto_mix,
         "op7_ppm_language": op7_ppm_language,
         "op8_secret_scan": op8_secret_scan,
+        "op9_deleted_interpolation": op9_deleted_interpolation,
     }
 
 
