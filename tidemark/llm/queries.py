@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import crf, fertility, language, lm, mixing, nearjoin, packing, secrets, topk
+from tidemark.llm import crf, fertility, language, licenses, lm, mixing, nearjoin, packing, secrets, topk
 from tidemark.llm._shared import table
 
 
@@ -46,6 +46,10 @@ def op6_columnar_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op6(table(spark, sf_dir, "embeddings"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op10(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -73,10 +77,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ppm_language": op7_ppm_language,
         "op8_secret_scan": op8_secret_scan,
         "op9_deleted_interpolation": op9_deleted_interpolation,
+        "op10_license_scan": op10_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_columnar_top_k": OP6_SQL,
+        "op10_license_scan": licenses.op10_sql(),
     }
