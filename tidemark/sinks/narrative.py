@@ -1,0 +1,43 @@
+"""A narrative of a result: a template by default, or whatever a provider makes of the prompt.
+
+A provider is a function (system prompt, user message) -> text that the caller brings; nothing here opens a connection.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from tidemark.operators.kpi import MetricsConfig
+from tidemark.plans.findings import DiffResult
+
+Provider = Callable[[str, str], str]
+#: Registered providers by name; none are built in.
+PROVIDERS: dict[str, Provider] = {}
+
+
+def system_prompt(config: MetricsConfig | None = None) -> str:
+    lines = ["Summarise, for technical readers and in three to five plain sentences, how a dataset changed between two versions.", "Begin with what failed, then what is suspicious, then what to look into first. Business metrics come before other findings."]
+    if config and config.business_context.strip():
+        lines += ["", "Business context of the dataset:", config.business_context.strip(), "Name metrics as the business does."]
+    return "\n".join(lines)
+
+
+def user_message(result: DiffResult, redact: bool = False) -> str:
+    return f"The comparison as JSON:\n{(result.redacted() if redact else result).to_json()}"
+
+
+def story(result: DiffResult, config: MetricsConfig | None = None, provider: str | Provider | None = None, redact: bool = False) -> str:
+    if provider is not None:
+        call = PROVIDERS.get(provider) if isinstance(provider, str) else provider
+        if call is None:
+            raise ValueError(f"unknown provider {provider!r}; known: {', '.join(sorted(PROVIDERS)) or 'none'}")
+        return call(system_prompt(config), user_message(result, redact))
+    out = [f"The dataset went from {result.rows_before:,} to {result.rows_after:,} rows ({result.row_delta_pct:+.1%}); the verdict is {result.summary_severity}."]
+    order = lambda f: (f.layer != "custom", f.layer)
+    for severity, lead in (("FAIL", "Failures"), ("WARN", "To look into")):
+        found = sorted((f for f in result.findings if f.severity == severity), key=order)
+        if found:
+            out.append(f"{lead}: {'; '.join(f.title for f in found[:3])}" + (f"; and {len(found) - 3} more." if len(found) > 3 else "."))
+    if len(out) == 1:
+        out.append("Nothing stands out.")
+    return " ".join(out)
