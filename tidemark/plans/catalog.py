@@ -1,11 +1,373 @@
-"""The registered queries of the comparison engine and their equivalents in SQL."""
+"""The registered queries of the comparison engine and their equivalents in SQL.
+
+Most run on a drift pair made of `orders` (drift is injected, as the tables have none); both engines build it from the same text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.timestamps import days_since, parsed
+from tidemark.operators import distribution as dist
+from tidemark.operators import kpi
+from tidemark.operators.integrity import key_counts, key_status
+from tidemark.operators.profile import col, profile, semantic_types
+from tidemark.plans import lens
+from tidemark.plans.compare import compare
+from tidemark.sinks import narrative, render
+
+BEFORE = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM {orders} WHERE o_orderkey % 20 <> 0"
+_BASE = (
+    "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN 'F' WHEN o_orderkey % 97 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, "
+    "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice * 1.15 END AS o_totalprice, o_orderdate + INTERVAL 30 DAY AS o_orderdate, o_orderpriority "
+    "FROM {orders} WHERE o_orderkey % 20 <> 1 AND o_orderpriority <> '5-LOW'"
+)
+AFTER = f"{_BASE} UNION ALL SELECT * FROM ({_BASE}) d WHERE o_orderkey % 50 = 3"
+EVENTS_BEFORE = "SELECT event_id, ts, user_id, event_type, value, props FROM {events} WHERE event_id % 10 <> 0"
+EVENTS_AFTER = "SELECT event_id, ts, user_id, CASE WHEN event_type = 'signup' THEN 'register' ELSE event_type END AS event_type, CAST(value AS VARCHAR(20)) AS value, CAST(event_id % 3 AS INTEGER) AS channel FROM {events} WHERE event_id % 10 <> 1"
+LINES_BEFORE = "SELECT * FROM {lineitem} WHERE l_linenumber <= 3"
+LINES_AFTER = (
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity * 1.05 AS l_quantity, l_extendedprice, CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_discount END AS l_discount, "
+    "l_tax * l_tax * 16 AS l_tax, l_returnflag, l_linestatus, l_shipdate FROM {lineitem} WHERE l_linenumber > 3"
+)
+NUMERIC, CATEGORY = ("o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderpriority")
+COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+AS_OF = "2001-09-01"
+TIMES = 0.10
+
+
+def _pair(spark: SparkSession, sf_dir: str, table: str, before: str, after: str) -> tuple[DataFrame, DataFrame]:
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.sql(before, **{table: df}), spark.sql(after, **{table: df})
+
+
+def orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _pair(spark, sf_dir, "orders", BEFORE, AFTER)
+
+
+def _on_orders(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(*orders(spark, sf_dir))
+
+
+def _sides(b: DataFrame, a: DataFrame, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return measure(b).select(F.lit("before").alias("side"), "*").unionByName(measure(a).select(F.lit("after").alias("side"), "*"))
+
+
+def row_summary(b: DataFrame, a: DataFrame) -> DataFrame:
+    both = b.select(F.lit(1).alias("b"), F.lit(0).alias("a")).union(a.select(F.lit(0), F.lit(1)))
+    n = both.agg(F.sum("b").alias("rows_before"), F.sum("a").alias("rows_after"))
+    delta = F.col("rows_after") - F.col("rows_before")
+    return n.select("rows_before", "rows_after", delta.alias("row_delta"), F.round(delta / F.greatest("rows_before", F.lit(1)), 4).alias("row_delta_pct"))
+
+
+def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, a = _pair(spark, sf_dir, "events", EVENTS_BEFORE, EVENTS_AFTER)
+    from tidemark.operators.integrity import schema_findings
+    from tidemark.operators.profile import ColumnProfile
+
+    kb, ka = ({f.name: f.dataType.simpleString() for f in x.schema} for x in (b, a))
+    found = schema_findings([ColumnProfile(c, "unknown", kb.get(c), ka.get(c)) for c in dict.fromkeys([*kb, *ka])])
+    return spark.createDataFrame([(f.column, f.severity, f.title) for f in found], "column string, severity string, title string")
+
+
+def profile_ndv(b: DataFrame, a: DataFrame) -> DataFrame:
+    def ndv(df: DataFrame) -> DataFrame:
+        n = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(col(c)).alias(c) for c in COLUMNS])
+        return n.select("n", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("ndv")) for c in COLUMNS]))).select("column", "ndv", F.round(F.col("ndv") / F.greatest("n", F.lit(1)), 6).alias("ratio"))
+
+    return _sides(b, a, ndv)
+
+
+def semantic_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for t in ("customer", "orders", "part", "events"):
+        rows += [(t, c, k) for c, k in semantic_types(spark.read.parquet(f"{sf_dir}/{t}.parquet")).items()]
+    return spark.createDataFrame(rows, "table string, column string, semantic_type string")
+
+
+def null_rate_diff(b: DataFrame, a: DataFrame) -> DataFrame:
+    def rates(df: DataFrame) -> DataFrame:
+        n = df.agg(*[F.avg(col(c).isNull().cast("double")).alias(c) for c in COLUMNS])
+        return n.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("rate")) for c in COLUMNS])))
+
+    joined = rates(b).withColumnRenamed("rate", "null_before").join(rates(a).withColumnRenamed("rate", "null_after"), "column")
+    delta = F.abs(F.col("null_after") - F.col("null_before"))
+    severity = F.when(delta > 2 * TIMES, "FAIL").when(delta > TIMES, "WARN")
+    return joined.select("column", F.round("null_before", 4).alias("null_before"), F.round("null_after", 4).alias("null_after"), severity.alias("severity"))
+
+
+def mean_shift(b: DataFrame, a: DataFrame) -> DataFrame:
+    def means(df: DataFrame, name: str) -> DataFrame:
+        n = df.agg(*[F.avg(dist.number(c)).alias(c) for c in NUMERIC])
+        return n.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias(name)) for c in NUMERIC])))
+
+    joined = means(b, "mean_before").join(means(a, "mean_after"), "column")
+    delta = F.try_divide(F.col("mean_after") - F.col("mean_before"), F.abs("mean_before"))
+    severity = F.when(F.abs(delta) > 2 * TIMES, "FAIL").when(F.abs(delta) > TIMES, "WARN")
+    return joined.select("column", F.round("mean_before", 4).alias("mean_before"), F.round("mean_after", 4).alias("mean_after"), F.round(delta, 4).alias("delta_pct"), severity.alias("severity"))
+
+
+def numeric_summary(b: DataFrame, a: DataFrame) -> DataFrame:
+    def summary(df: DataFrame) -> DataFrame:
+        x = dist.number("o_totalprice")
+        n = df.agg(F.avg(x).alias("mean"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_samp(x).alias("std"))
+        return n.select(F.round("mean", 4).alias("mean"), F.round(F.col("q")[1], 4).alias("median"), F.round("std", 4).alias("std"), F.round(F.col("q")[0], 4).alias("p25"), F.round(F.col("q")[2], 4).alias("p75"))
+
+    return _sides(b, a, summary)
+
+
+def ks_statistic(b: DataFrame, a: DataFrame) -> DataFrame:
+    return dist.ks_statistics(b, a, list(NUMERIC)).select("column", "n_before", "n_after", F.round("d", 6).alias("d"))
+
+
+def ks_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, a = _pair(spark, sf_dir, "lineitem", LINES_BEFORE, LINES_AFTER)
+    return dist.ks_statistics(b, a, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]).select("column", "n_before", "n_after", F.round("d", 6).alias("d"))
+
+
+def ks_pvalue(b: DataFrame, a: DataFrame) -> DataFrame:
+    from tidemark.functions.kolmogorov import p_value
+
+    rows = [(r["column"], r["d"], p_value(r["d"], r["n_before"], r["n_after"])) for r in dist.ks_statistics(b, a, list(NUMERIC)).collect()]
+    return b.sparkSession.createDataFrame(rows, "column string, d double, p double")
+
+
+def _categories(b: DataFrame, a: DataFrame) -> DataFrame:
+    return dist.value_counts(b, a, list(CATEGORY), "string")
+
+
+def new_categories(b: DataFrame, a: DataFrame) -> DataFrame:
+    return _categories(b, a).where("n_before = 0").select("column", "value", "n_after")
+
+
+def gone_categories(b: DataFrame, a: DataFrame) -> DataFrame:
+    n = _categories(b, a).groupBy("column").agg(F.count_if((F.col("n_before") > 0) & (F.col("n_after") == 0)).alias("gone"), F.count_if(F.col("n_before") > 0).alias("known"))
+    share = F.col("gone") / F.greatest("known", F.lit(1))
+    return n.where("gone > 0").select("column", "gone", "known", F.round(share, 4).alias("gone_ratio"), F.when(share > 0.5, "FAIL").otherwise("WARN").alias("severity"))
+
+
+def share_shift(b: DataFrame, a: DataFrame) -> DataFrame:
+    n = _categories(b, a)
+    totals = n.groupBy("column").agg(F.sum("n_before").alias("tb"), F.sum("n_after").alias("ta"))
+    both = n.where("n_before > 0 AND n_after > 0").join(totals, "column")
+    sb, sa = F.try_divide("n_before", "tb"), F.try_divide("n_after", "ta")
+    return both.select("column", "value", F.round(sb, 4).alias("share_before"), F.round(sa, 4).alias("share_after"), F.when(F.abs(sa - sb) > TIMES, "WARN").alias("severity"))
+
+
+def datetime_range(b: DataFrame, a: DataFrame) -> DataFrame:
+    def bounds(df: DataFrame) -> DataFrame:
+        return df.agg(F.min("o_orderdate").cast("date").cast("string").alias("first_date"), F.max("o_orderdate").cast("date").cast("string").alias("last_date"))
+
+    return _sides(b, a, bounds)
+
+
+def key_status_counts(b: DataFrame, a: DataFrame) -> DataFrame:
+    return key_counts(key_status(b, a, "o_orderkey"))
+
+
+def key_duplicates(b: DataFrame, a: DataFrame) -> DataFrame:
+    return key_status(b, a, "o_orderkey").where("n_after > 1").select("key", "n_after")
+
+
+def keys_deleted(b: DataFrame, a: DataFrame) -> DataFrame:
+    return key_status(b, a, "o_orderkey").where("key IS NOT NULL AND n_before > 0 AND n_after = 0").select("key")
+
+
+def keys_added(b: DataFrame, a: DataFrame) -> DataFrame:
+    return key_status(b, a, "o_orderkey").where("key IS NOT NULL AND n_before = 0 AND n_after > 0").select("key")
+
+
+METRICS = {
+    "metric_ratio": kpi.Metric("r", "ratio", numerator="o_totalprice", denominator="o_custkey"),
+    "metric_rate": kpi.Metric("f", "rate", column="o_orderstatus", match_value="F"),
+    "metric_completeness": kpi.Metric("c", "completeness", column="o_totalprice"),
+    "metric_staleness": kpi.Metric("s", "staleness", column="o_orderdate", threshold_days=365),
+    "metric_custom_gt": kpi.Metric("g", "custom", expression="(df['o_totalprice'] > 300000).mean()"),
+    "metric_custom_ne": kpi.Metric("n", "custom", expression="(df['o_orderstatus'] != 'F').mean()"),
+}
+
+
+def _metric(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(b: DataFrame, a: DataFrame) -> DataFrame:
+        when = F.lit(AS_OF).cast("timestamp")
+        return _sides(b, a, lambda df: df.agg(F.round(kpi.measure(METRICS[name], df, when), 6).alias("value")))
+
+    return _on_orders(run)
+
+
+SEVERITY_CASES = ((0.1, 0.2), (0.5, 0.55), (0.9, 0.5), (0.0, 0.3), (0.3, 0.31))
+
+
+def metric_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = kpi.Metric("m", "rate", warn_if_above=0.5, fail_if_above=0.6, fail_if_below=0.25, warn_if_delta_pct=0.02)
+    return spark.createDataFrame([(b, a, kpi.severity(m, b, a)) for b, a in SEVERITY_CASES], "value_before double, value_after double, severity string")
+
+
+LENS_CASES = (("schema", "FAIL"), ("schema", "WARN"), ("distribution", "WARN"), ("integrity", "INFO"), ("custom", "WARN"))
+
+
+def _lens(scenario: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.createDataFrame([(k, *x) for k, x in enumerate(LENS_CASES)], "seq int, layer string, severity string")
+        return lens.apply_df(rows, scenario).select("seq", "layer", "severity", "rank")
+
+    return run
+
+
+def _diff(spark: SparkSession, sf_dir: str, scenario: str = "general"):
+    b, a = orders(spark, sf_dir)
+    return compare(b, a, scenario, metrics=kpi.MetricsConfig("", tuple(METRICS.values())), as_of=F.lit(AS_OF).cast("timestamp"))
+
+
+def diff_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diff(spark, sf_dir).to_df(spark)
+
+
+def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diff(spark, sf_dir, "etl").to_df(spark).groupBy("layer", "severity").agg(F.count("*").alias("n"))
+
+
+def diff_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare(*_pair(spark, sf_dir, "lineitem", LINES_BEFORE, LINES_AFTER)).to_df(spark)
+
+
+def diff_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare(*_pair(spark, sf_dir, "events", EVENTS_BEFORE, EVENTS_AFTER), scenario="migration").to_df(spark)
+
+
+def column_summary(b: DataFrame, a: DataFrame) -> DataFrame:
+    n = b.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.count_distinct(col(c)).alias("d"), F.count(col(c)).alias("c")).alias(c) for c in COLUMNS])
+    return n.select("n", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"{c}.d").alias("n_unique"), F.col(f"{c}.c").alias("filled")) for c in COLUMNS]))).select("name", "n_unique", F.round(1 - F.col("filled") / F.col("n"), 3).alias("null_pct"))
+
+
+def datetime_strings(b: DataFrame, a: DataFrame) -> DataFrame:
+    """Lenient parsing of dates that are written as text."""
+    as_text = a.select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("shown")).union(b.select("o_orderkey", F.col("o_custkey").cast("string")))
+    return as_text.where(F.length("shown") != 8).agg(F.count("*").alias("n"), F.count(F.when(F.length("shown") == 10, parsed(F.col("shown")))).alias("parsed"), F.date_format(F.max(F.when(F.length("shown") == 10, parsed(F.col("shown")))), "yyyy-MM-dd").alias("latest"))
+
+
+def age_in_days(b: DataFrame, a: DataFrame) -> DataFrame:
+    days = days_since(F.col("o_orderdate"), F.lit(AS_OF).cast("timestamp"))
+    return a.groupBy((F.floor(days / 365)).alias("years")).agg(F.count("*").alias("n"))
+
+
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k, line) for k, line in enumerate(render.text(_diff(spark, sf_dir)).split("\n"))], "line_no int, line string")
+
+
+def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(render.html(_diff(spark, sf_dir)),)], "html string")
+
+
+def report_story(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(narrative.story(_diff(spark, sf_dir)),)], "story string")
+
+
+def profile_pair(b: DataFrame, a: DataFrame) -> DataFrame:
+    return b.sparkSession.createDataFrame([(p.name, p.semantic_type, p.in_before, p.in_after) for p in profile(b, a)], "column string, semantic_type string, in_before boolean, in_after boolean")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    pair = {f.__name__: _on_orders(f) for f in (row_summary, profile_ndv, null_rate_diff, mean_shift, numeric_summary, ks_statistic, ks_pvalue, new_categories, gone_categories, share_shift, datetime_range, key_status_counts, key_duplicates, keys_deleted, keys_added, column_summary, datetime_strings, age_in_days, profile_pair)}
+    whole = {"schema_diff": schema_diff, "semantic_types": semantic_classes, "ks_lineitem": ks_lineitem, "metric_severity": metric_severity, "diff_findings": diff_findings, "finding_counts": finding_counts, "diff_lineitem": diff_lineitem, "diff_events": diff_events, "report_text": report_text, "report_html": report_html, "report_story": report_story}
+    return pair | whole | {n: _metric(n) for n in METRICS} | {f"scenario_lens_{s.replace('-', '')}": _lens(s) for s in lens.SCENARIOS}
+
+
+# --- the same in SQL ---------------------------------------------------------------------------------------------
+
+_WITH = f"WITH b AS ({BEFORE.format(orders='orders')}), a AS ({AFTER.format(orders='orders')})"
+
+
+def _each(columns: tuple[str, ...], make: Callable[[str], str]) -> str:
+    return " UNION ALL ".join(map(make, columns))
+
+
+def _two(measure: str) -> str:
+    return f"{_WITH} SELECT 'before' AS side, {measure} FROM b UNION ALL SELECT 'after' AS side, {measure} FROM a"
+
+
+_CATEGORIES = "c AS (" + _each(CATEGORY, lambda c: f"SELECT '{c}' AS col, v AS value, CAST(sum(is_b) AS BIGINT) AS n_before, CAST(sum(is_a) AS BIGINT) AS n_after FROM (SELECT {c} AS v, 1 AS is_b, 0 AS is_a FROM b UNION ALL SELECT {c}, 0, 1 FROM a) WHERE v IS NOT NULL GROUP BY v") + ")"
+_KEYS = "k AS (SELECT o_orderkey AS key, CAST(sum(is_b) AS BIGINT) AS n_before, CAST(sum(is_a) AS BIGINT) AS n_after FROM (SELECT o_orderkey, 1 AS is_b, 0 AS is_a FROM b UNION ALL SELECT o_orderkey, 0, 1 FROM a) GROUP BY o_orderkey)"
+
+
+def _ks(before: str, after: str, columns: tuple[str, ...]) -> str:
+    long = " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS v, {b} AS is_b, {1 - b} AS is_a FROM ({s}) WHERE {c} IS NOT NULL" for c in columns for b, s in ((1, before), (0, after)))
+    return (
+        f"WITH l AS ({long}), g AS (SELECT col, v, sum(is_b) AS nb, sum(is_a) AS na FROM l GROUP BY col, v), "
+        "r AS (SELECT col, sum(nb) OVER w AS cb, sum(na) OVER w AS ca, sum(nb) OVER (PARTITION BY col) AS tb, sum(na) OVER (PARTITION BY col) AS ta FROM g WINDOW w AS (PARTITION BY col ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
+        'SELECT col AS "column", CAST(max(tb) AS BIGINT) AS n_before, CAST(max(ta) AS BIGINT) AS n_after, round(max(abs(CAST(cb AS DOUBLE) / tb - CAST(ca AS DOUBLE) / ta)), 6) AS d FROM r GROUP BY col'
+    )
+
+
+def _semantic(table: str, columns: dict[str, str]) -> str:
+    """columns: name -> kind (int, number, text, instant), by the schema."""
+
+    def one(c: str) -> str:
+        kind = columns[c]
+        ratio = f"(SELECT CAST(count(DISTINCT {c}) AS DOUBLE) / greatest(count(*), 1) FROM {table})"
+        rule = {"instant": "'datetime'", "number": "'numeric'", "int": f"CASE WHEN {ratio} > 0.95 THEN 'id' ELSE 'numeric' END", "text": f"CASE WHEN {ratio} < 0.05 THEN 'category' WHEN {ratio} > 0.5 THEN 'text' ELSE 'category' END"}[kind]
+        return f"SELECT '{table}' AS \"table\", '{c}' AS \"column\", {rule} AS semantic_type"
+
+    return _each(tuple(columns), one)
+
+
+_SCHEMAS = {
+    "customer": {"c_custkey": "int", "c_name": "text", "c_nationkey": "int", "c_acctbal": "number", "c_mktsegment": "text"},
+    "orders": {"o_orderkey": "int", "o_custkey": "int", "o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "instant", "o_orderpriority": "text"},
+    "part": {"p_partkey": "int", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "int", "p_retailprice": "number"},
+    "events": {"event_id": "int", "ts": "instant", "user_id": "int", "event_type": "text", "value": "number", "props": "text"},
+}
+
+
+def _lens_sql(scenario: str) -> str:
+    _, up, down = lens.SCENARIOS[scenario]
+    values = ", ".join(f"({k}, '{a}', '{s}')" for k, (a, s) in enumerate(LENS_CASES))
+    step = "CASE " + "".join(f"WHEN layer = '{x}' THEN 1 " for x in up) + "".join(f"WHEN layer = '{x}' THEN -1 " for x in down if x not in up) + "ELSE 0 END" if up or down else "0"
+    return (
+        f"WITH f(seq, layer, severity) AS (VALUES {values}), r AS (SELECT seq, layer, least(3, greatest(0, CASE severity WHEN 'PASS' THEN 0 WHEN 'INFO' THEN 1 WHEN 'WARN' THEN 2 ELSE 3 END + {step})) AS s FROM f) "
+        "SELECT CAST(seq AS INTEGER) AS seq, layer, ['PASS', 'INFO', 'WARN', 'FAIL'][s + 1] AS severity, CAST(row_number() OVER (ORDER BY s DESC, CASE layer WHEN 'schema' THEN 0 WHEN 'integrity' THEN 1 WHEN 'distribution' THEN 2 ELSE 3 END, seq) - 1 AS INTEGER) AS rank FROM r"
+    )
+
 
-def queries() -> dict:
-    return {}
+def _severity_sql() -> str:
+    values = ", ".join(f"(CAST({b} AS DOUBLE), CAST({a} AS DOUBLE))" for b, a in SEVERITY_CASES)
+    return (
+        f"WITH v(value_before, value_after) AS (VALUES {values}) SELECT value_before, value_after, CASE WHEN value_after > 0.6 THEN 'FAIL' WHEN value_after > 0.5 THEN 'WARN' WHEN value_after < 0.25 THEN 'FAIL' "
+        "WHEN value_before <> 0 AND abs(value_after - value_before) / abs(value_before) > 0.02 THEN 'WARN' ELSE 'PASS' END AS severity FROM v"
+    )
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    share = lambda test: f"round(avg(CAST({test} AS DOUBLE)), 6) AS value"
+    return {
+        "row_summary": f"{_WITH}, n AS (SELECT (SELECT count(*) FROM b) AS rows_before, (SELECT count(*) FROM a) AS rows_after) SELECT rows_before, rows_after, rows_after - rows_before AS row_delta, round(CAST(rows_after - rows_before AS DOUBLE) / greatest(rows_before, 1), 4) AS row_delta_pct FROM n",
+        "schema_diff": "SELECT * FROM (VALUES ('value', 'WARN', 'Type changed: ''value'' (double → string)'), ('props', 'FAIL', 'Column removed: ''props'' (was: string)'), ('channel', 'WARN', 'Column added: ''channel'' (type: int)')) t(\"column\", severity, title)",
+        "profile_ndv": f"{_WITH} " + " UNION ALL ".join(f"SELECT '{s}' AS side, '{c}' AS \"column\", count(DISTINCT {c}) AS ndv, round(CAST(count(DISTINCT {c}) AS DOUBLE) / greatest(count(*), 1), 6) AS ratio FROM {t}" for s, t in (("before", "b"), ("after", "a")) for c in COLUMNS),
+        "semantic_types": " UNION ALL ".join(_semantic(t, c) for t, c in _SCHEMAS.items()),
+        "null_rate_diff": f"{_WITH}, r AS (" + _each(COLUMNS, lambda c: f"SELECT '{c}' AS col, (SELECT avg(CAST({c} IS NULL AS DOUBLE)) FROM b) AS x, (SELECT avg(CAST({c} IS NULL AS DOUBLE)) FROM a) AS y") + ") SELECT col AS \"column\", round(x, 4) AS null_before, round(y, 4) AS null_after, CASE WHEN abs(y - x) > 0.2 THEN 'FAIL' WHEN abs(y - x) > 0.1 THEN 'WARN' END AS severity FROM r",
+        "mean_shift": f"{_WITH}, r AS (" + _each(NUMERIC, lambda c: f"SELECT '{c}' AS col, (SELECT avg(CAST({c} AS DOUBLE)) FROM b) AS x, (SELECT avg(CAST({c} AS DOUBLE)) FROM a) AS y") + ") SELECT col AS \"column\", round(x, 4) AS mean_before, round(y, 4) AS mean_after, round((y - x) / abs(x), 4) AS delta_pct, CASE WHEN abs((y - x) / x) > 0.2 THEN 'FAIL' WHEN abs((y - x) / x) > 0.1 THEN 'WARN' END AS severity FROM r",
+        "numeric_summary": _two("round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(stddev_samp(o_totalprice), 4) AS std, round(quantile_cont(o_totalprice, 0.25), 4) AS p25, round(quantile_cont(o_totalprice, 0.75), 4) AS p75"),
+        "ks_statistic": _ks(BEFORE.format(orders="orders"), AFTER.format(orders="orders"), NUMERIC),
+        "ks_lineitem": _ks(LINES_BEFORE.format(lineitem="lineitem"), LINES_AFTER.format(lineitem="lineitem"), ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")),
+        "new_categories": f'{_WITH}, {_CATEGORIES} SELECT col AS "column", value, n_after FROM c WHERE n_before = 0',
+        "gone_categories": f"{_WITH}, {_CATEGORIES}, g AS (SELECT col, CAST(sum(CASE WHEN n_before > 0 AND n_after = 0 THEN 1 ELSE 0 END) AS BIGINT) AS gone, CAST(sum(CASE WHEN n_before > 0 THEN 1 ELSE 0 END) AS BIGINT) AS known FROM c GROUP BY col) SELECT col AS \"column\", gone, known, round(CAST(gone AS DOUBLE) / greatest(known, 1), 4) AS gone_ratio, CASE WHEN CAST(gone AS DOUBLE) / greatest(known, 1) > 0.5 THEN 'FAIL' ELSE 'WARN' END AS severity FROM g WHERE gone > 0",
+        "share_shift": f"{_WITH}, {_CATEGORIES}, t AS (SELECT *, sum(n_before) OVER (PARTITION BY col) AS tb, sum(n_after) OVER (PARTITION BY col) AS ta FROM c), s AS (SELECT col, value, n_before, n_after, CAST(n_before AS DOUBLE) / tb AS sb, CAST(n_after AS DOUBLE) / ta AS sa FROM t) SELECT col AS \"column\", value, round(sb, 4) AS share_before, round(sa, 4) AS share_after, CASE WHEN abs(sa - sb) > 0.1 THEN 'WARN' END AS severity FROM s WHERE n_before > 0 AND n_after > 0",
+        "datetime_range": _two("CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR) AS first_date, CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS last_date"),
+        "key_status_counts": f"{_WITH}, {_KEYS} SELECT CAST(sum(greatest(n_after - 1, 0)) AS BIGINT) AS duplicates, count(CASE WHEN n_before > 0 AND n_after = 0 THEN 1 END) AS deleted, count(CASE WHEN n_before = 0 AND n_after > 0 THEN 1 END) AS added, count(CASE WHEN n_before > 0 THEN 1 END) AS before_keys FROM k",
+        "key_duplicates": f"{_WITH}, {_KEYS} SELECT key, n_after FROM k WHERE n_after > 1",
+        "keys_deleted": f"{_WITH} SELECT DISTINCT o_orderkey AS key FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.o_orderkey = b.o_orderkey)",
+        "keys_added": f"{_WITH} SELECT DISTINCT o_orderkey AS key FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.o_orderkey = b.o_orderkey)",
+        "column_summary": f"{_WITH} " + _each(COLUMNS, lambda c: f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n_unique, round(1 - CAST(count({c}) AS DOUBLE) / count(*), 3) AS null_pct FROM b"),
+        "datetime_strings": f"{_WITH}, s AS (SELECT strftime(o_orderdate, '%d.%m.%Y') AS shown FROM a UNION ALL SELECT CAST(o_custkey AS VARCHAR) FROM b) SELECT count(*) AS n, count(CASE WHEN length(shown) = 10 THEN 1 END) AS parsed, strftime(max(CASE WHEN length(shown) = 10 THEN try_strptime(shown, '%d.%m.%Y') END), '%Y-%m-%d') AS latest FROM s WHERE length(shown) <> 8",
+        "age_in_days": f"{_WITH} SELECT CAST(floor(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(o_orderdate)) / 86400000000.0) / 365) AS BIGINT) AS years, count(*) AS n FROM a GROUP BY 1",
+        "metric_ratio": _two("round(sum(o_totalprice) / sum(CAST(o_custkey AS DOUBLE)), 6) AS value"),
+        "metric_rate": _two(share("o_orderstatus IS NOT DISTINCT FROM 'F'")),
+        "metric_completeness": _two(share("o_totalprice IS NOT NULL")),
+        "metric_staleness": _two(share(f"coalesce(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(o_orderdate)) / 86400000000.0) > 365, false)")),
+        "metric_custom_gt": _two(share("coalesce(o_totalprice > 300000, false)")),
+        "metric_custom_ne": _two(share("o_orderstatus IS DISTINCT FROM 'F'")),
+        "metric_severity": _severity_sql(),
+    } | {f"scenario_lens_{s.replace('-', '')}": _lens_sql(s) for s in lens.SCENARIOS}
