@@ -6,15 +6,12 @@ tokens: a node chooses coordinates by hash, and a class goes to the child named
 similarity s meets in a child with probability s. `trees` * `branches` root branches are independent: a pair at the
 threshold 0.85 is missed by 12 with probability 0.15 ** 12, which is the recall that is targeted, about 1 - 1e-10 at the root.
 
-1. In every root child, classes are compared with the child's pivot (its least class). Pairs whose sketches agree well enough are
-   confirmed on full sets; components of confirmed links follow.
-2. A node whose classes are all in one component needs no more: its other pairs could not change components. In small
-   nodes that are left, all pairs across components are compared. In large ones with a small remainder outside the
-   pivot's component, the remainder is compared with all. Other large nodes branch again by fresh tokens; what is still large at the last level
-   is compared in blocks, so nothing is capped.
-3. New pairs are confirmed on full sets, and components are made again.
-
-Pairs go to exact confirmation if their sketches agree in at least threshold - 5 standard deviations.
+1. Nodes of at most SMALL classes are compared exhaustively by their sketches; a spanning forest of the pairs that agree
+   in at least threshold - 5 standard deviations is kept, at most one edge a class. Larger nodes branch again by fresh tokens; what is
+   still large at the last level is compared part by part, so nothing is capped.
+2. The components of these edges are clusters: classes that might be linked. Every link lies in a cluster.
+3. Full sets are brought together once a cluster (in pairs of parts, if a cluster is large), and the links on full sets
+   are found by counting intersections from postings. Their components are the result.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; a text of fewer words than a shingle is
 one shingle; rows that share an id are one document for links; null ids take part in no link and have a null component; an empty table gives an empty result;
@@ -25,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,8 +36,10 @@ from tidemark.llm.components import components
 
 SKETCH = 64
 #: Nodes up to this size are compared exhaustively.
-SMALL = 64
-LEVELS = 5
+SMALL = 4096
+LEVELS = 4
+#: Shingles of a part of a cluster: two parts are in a task's memory at a time.
+PART_SHINGLES = 1_000_000
 #: Fixed size of the filter that tells which documents' sets are needed: bits, and bits set by an id.
 FILTER_BITS, FILTER_HASHES = 1 << 25, 3
 
@@ -129,103 +129,127 @@ def _sets(docs: DataFrame, ids: DataFrame, text: str, key: str, size: int, block
     return picked.mapInArrow(run, "id bigint, set binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int, text: str, key: str, size: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) with 100 * intersection >= percent * union of their sets."""
-    pairs = written(pairs, "pairs")
-    sets = written(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), text, key, size), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+def forest(sketches: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph that joins sketches agreeing in at least `least` places."""
+    edges, left = [], np.arange(len(sketches))
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            hit = (sketches[left] == sketches[x]).sum(1) >= least
+            edges += [(int(x), int(y)) for y in left[hit]]
+            queue += left[hit].tolist()
+            left = left[~hit]
+    return edges
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint"), "links")
+def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among sets: 100 * intersection >= percent * union, on full sets.
+
+    A set's intersections with all others are counted from postings of its shingles.
+    """
+    sizes = np.array(list(map(len, sets)), np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    postings, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+    begins = np.cumsum(sizes) - sizes
+    edges, left = [], np.ones(len(sets), bool)
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        left[root], queue = False, [root]
+        while queue and left.any():
+            x = queue.pop()
+            own = code[begins[x] : begins[x] + sizes[x]]
+            lo, n = starts[own], starts[own + 1] - starts[own]
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(postings[at], minlength=len(sets))
+            hit = np.flatnonzero(left & (100 * both >= percent * (sizes[x] + sizes - both)))
+            edges += [(x, int(y)) for y in hit]
+            left[hit] = False
+            queue += hit.tolist()
+    return edges
+
+
+def _candidate_edges(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out_a, out_b = [], []
+        for members in batch.column("members"):
+            ids = members.values.field("rep").to_numpy()
+            for x, y in forest(members.values.field("sketch").flatten().to_numpy().reshape(-1, SKETCH), least):
+                out_a.append(ids[x])
+                out_b.append(ids[y])
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["u", "v"])
 
 
-def _close(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) across components whose sketches agree in at least `least` places; rows hold members and others, arrays of (id, component, sketch)."""
+def _link_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out_a, out_b = [], []
-        for members, others in zip(batch.column("members"), batch.column("others"), strict=True):
-            part = lambda x: (x.values.field("id").to_numpy(), x.values.field("component").to_numpy(), x.values.field("sketch").flatten().to_numpy().reshape(-1, SKETCH))
-            (i, c, s), (j, d, t) = part(members), part(others)
-            for k in range(len(i)):
-                hit = ((t == s[k]).sum(1) >= least) & (d != c[k]) & (j != i[k])
-                out_a += np.minimum(i[k], j[hit]).tolist()
-                out_b += np.maximum(i[k], j[hit]).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        for members in batch.column("members"):
+            ids = members.values.field("id").to_numpy()
+            for x, y in linked([np.frombuffer(m.as_buffer(), np.uint64) for m in members.values.field("set")], percent):
+                out_a.append(ids[x])
+                out_b.append(ids[y])
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["u", "v"])
 
 
 def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, trees: int = 6, branches: int = 2, links: bool = False) -> DataFrame:
     """id, n_shingles, component_id for every row of docs; component_id is the least id reachable over links.
 
-    With links=True instead the confirmed links (a, b) between class representatives that were needed for the components.
+    With links=True instead confirmed links (u, v) between class representatives that make up the components.
     """
     s = percent / 100
     least = max(1, int(SKETCH * (s - 5 * (s * (1 - s) / SKETCH) ** 0.5)))
     base = written(signatures(docs, text, key, size), "signatures")
-    classes = written(base.where(F.col("id").isNotNull() & F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min_by("sketch", "id").alias("sketch"), F.min("id").alias("rep")), "classes")
-    reps = classes.groupBy("rep").agg(F.first("sketch").alias("sketch"))
+    classes = written(base.where(F.col("id").isNotNull() & F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min_by("sketch", "id").alias("sketch"), F.min("id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
+    reps = classes.groupBy("rep").agg(F.first("sketch").alias("sketch"), F.max("n").alias("n_shingles"))
 
-    def child(node, j, chosen) -> tuple:
-        token = F.element_at("sketch", (chosen + 1).cast("int"))
-        return F.xxhash64(node, j, token)
+    def child(node, j, chosen):
+        return F.xxhash64(node, j, F.element_at("sketch", (chosen + 1).cast("int")))
 
     # roots: coordinates without repetition, so that branches are independent
     coordinate = F.pmod(F.col("j") * 37 + 11, F.lit(SKETCH))
-    roots = reps.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(trees * branches - 1)))).select("rep", child(F.lit(0), F.col("j"), coordinate).alias("node"))
-    sizes = roots.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where(F.col("n") > 1)
-    rows = written(roots.join(sizes, "node"), "nodes")
-    by_pivot = rows.where(F.col("rep") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    near = by_pivot.join(reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b").where(agree >= least).select("a", "b")
-    found = confirmed(docs, near, percent, text, key, size)
-    groups = components(found.toDF("u", "v"))
-
-    # what the pivots left: nodes of three or more classes that are not in one component
-    whose = rows.where(F.col("n") > 2).select("rep", "node").join(groups.select(F.col("node").alias("g"), "component"), F.col("rep") == F.col("g"), "left").select("rep", "node", F.coalesce("component", "rep").alias("component"))
-    level, pairs = whose, []
-    for depth in range(1, LEVELS + 1):
-        state = level.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "rep").alias("main"))
-        level = level.join(state.where(F.col("lo") != F.col("hi")), "node")
-        rest = level.where(F.col("component") != F.col("main")).groupBy("node").agg(F.count("*").alias("n_rest"))
-        level = level.join(rest, "node").join(reps, "rep")
-        level = written(level, f"level{depth}")
-        entry = F.struct(F.col("rep").alias("id"), "component", "sketch")
-        small = level.where(F.col("n") <= SMALL).groupBy("node").agg(F.collect_list(entry).alias("members")).withColumn("others", F.col("members"))
-        lists = [small.select("members", "others")]
-        few = level.where((F.col("n") > SMALL) & (F.col("n_rest") <= SMALL))
-        rest_lists = few.where(F.col("component") != F.col("main")).groupBy("node").agg(F.collect_list(entry).alias("others"))
-        lists.append(few.select("node", F.array(entry).alias("members")).join(rest_lists, "node").select("members", "others"))
-        large = level.where((F.col("n") > SMALL) & (F.col("n_rest") > SMALL))
-        if depth == LEVELS:
-            # blocks: every class of the remainder's blocks meets every class of the node
-            block = lambda n: F.pmod(F.xxhash64("rep", "node"), F.greatest(F.ceil(n / SMALL), F.lit(1)))
-            parts = large.where(F.col("component") != F.col("main")).groupBy("node", block(F.col("n_rest")).alias("blk")).agg(F.collect_list(entry).alias("others"))
-            lists.append(large.select("node", F.array(entry).alias("members")).join(parts, "node").select("members", "others"))
-        pairs += [x.mapInArrow(lambda it: _close(it, least), "a bigint, b bigint") for x in lists]
-        if depth == LEVELS or large.isEmpty():
+    level = reps.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(trees * branches - 1))).alias("j")).select("rep", child(F.lit(0), F.col("j"), coordinate).alias("node"))
+    edges = []
+    for depth in range(LEVELS + 1):
+        level = written(level.join(level.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 1), "node"), f"level{depth}")
+        large = level.where(F.col("n") > SMALL)
+        last = depth == LEVELS
+        groups = level.where(F.col("n") <= SMALL).select("node", "rep", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        if last:
+            # every two parts of what is still large
+            parts = F.ceil(F.col("n") * 2 / SMALL).cast("int")
+            groups = groups.unionByName(_pairs_of_parts(large, F.pmod(F.xxhash64("rep"), parts).cast("int"), parts).select("node", "rep", "i", "j"))
+        members = groups.join(reps.select("rep", "sketch"), "rep").groupBy("node", "i", "j").agg(F.collect_list(F.struct("rep", "sketch")).alias("members")).select("members")
+        edges.append(written(members.mapInArrow(lambda it: _candidate_edges(it, least), "u bigint, v bigint").distinct(), "candidates"))
+        if last or large.isEmpty():
             break
-        level = large.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(1)))).select("rep", "component", child(F.col("node"), F.col("j"), F.pmod(F.xxhash64("node", "j"), F.lit(SKETCH))).alias("node"))
-    more = pairs[0]
-    for x in pairs[1:]:
-        more = more.union(x)
-    more = written(more.distinct(), "rest")
-    if not more.isEmpty():
-        found = found.union(confirmed(docs, more, percent, text, key, size))
-        groups = components(found.toDF("u", "v"))
+        forked = large.join(reps.select("rep", "sketch"), "rep").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(1))))
+        level = forked.select("rep", child(F.col("node"), F.col("j"), F.pmod(F.xxhash64("node", "j"), F.lit(SKETCH))).alias("node"))
+
+    # clusters of candidates hold every link; links are found on full sets, cluster by cluster
+    clusters = written(components(reduce(DataFrame.union, edges)).join(reps.select("rep", "n_shingles"), F.col("node") == F.col("rep")).select("rep", F.col("component").alias("cluster"), "n_shingles"), "clusters")
+    weight = clusters.groupBy("cluster").agg(F.sum("n_shingles").alias("w"))
+    parts = F.ceil(F.col("w") / F.lit(PART_SHINGLES)).cast("int")
+    spread = _pairs_of_parts(clusters.join(weight, "cluster"), F.pmod(F.xxhash64("rep"), parts).cast("int"), parts)
+    sets = written(_sets(docs, clusters.select(F.col("rep").alias("id")), text, key, size), "sets")
+    members = spread.join(sets, F.col("rep") == F.col("id")).groupBy("cluster", "i", "j").agg(F.collect_list(F.struct("id", "set")).alias("members")).select("members")
+    found = written(members.mapInArrow(lambda it: _link_edges(it, percent), "u bigint, v bigint"), "links")
     if links:
-        return found
+        return found.distinct()
+    groups = components(found)
     of_class = classes.select("set_id", "rep").join(groups, F.col("rep") == F.col("node"), "left").select(F.col("set_id").alias("s"), F.coalesce("component", "rep").alias("component_id"))
     joined = base.select("id", "n_shingles", "set_id").join(of_class, F.col("set_id") == F.col("s"), "left")
     return joined.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
+def _pairs_of_parts(rows: DataFrame, part, parts) -> DataFrame:
+    """rows, each once for every pair (i <= j) of parts that its own part is in; one part makes the pair (0, 0) only."""
+    other = F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0))))
+    return rows.withColumn("p", part).withColumn("o", other).where((F.col("p") != F.col("o")) | (parts <= 1)).withColumn("i", F.least("p", "o")).withColumn("j", F.greatest("p", "o"))
+
+
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """docs without the documents that a lesser id stands for; null ids stay."""
     gone = join_components(docs, text, key, size, percent).where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct()
