@@ -3,7 +3,7 @@
 Tokens are lower-cased words and an end of text. The model is P(w | h) = l2 f(w | h) + l1 f(w) + l0 / (V + 1): maximum-
 likelihood estimates of bigrams and unigrams, and an even share for any of V + 1 types (one is for what was never seen), with
 weights l that depend on the bucket of the history's frequency (powers of two). The weights come from expectation maximisation on
-held-out counts: a share of the training documents is held out, estimates from the retained rest are set against its tokens.
+held-out counts: every HELD_DOCS-th training document of every HELD_BLOCKS-th block is held out, estimates from the retained rest are set against its tokens.
 The final estimates count all training documents.
 
 Counting is an exchange of packed rows. Documents are read into blocks of bounded size; a block sends, for every bucket of
@@ -33,8 +33,9 @@ from tidemark.llm._shared import crc_mod, raw_texts, weighted_blocks, written
 
 #: Key of the end of text, also the history of a text's first token.
 END = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Held out of the training documents for the weights: one in HELD.
-HELD = 8
+#: Held out of the training documents for the weights: one in HELD_DOCS, in one of HELD_BLOCKS blocks of a partition (its
+#: first one too), so that only these blocks are read again for the weights.
+HELD_BLOCKS, HELD_DOCS = 8, 2
 #: Steps of an octave to which estimates are rounded in the held-out statistics.
 STEPS = 4
 NONE = -10_000
@@ -60,11 +61,11 @@ BLOCKS = "block bigint, n bigint, n_train bigint, ids array<bigint>, sizes array
 
 def blocks(docs: DataFrame, train: Column, text: str, key: str, block_bytes: int) -> DataFrame:
     """Packed blocks of documents: tokens are numbers of the block's distinct words (keys)."""
-    held = train & (F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(HELD)) == 0)
+    held = train & (F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(HELD_DOCS)) == 0)
     picked = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("__text"), train.alias("train"), held.alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 36
+        first = number = TaskContext.get().partitionId() << 36
         for batch in weighted_blocks(batches, "__text", block_bytes):
             parts = [t.lower().split() for t in raw_texts(batch.column("__text"))]  # of bytes: A-Z only, ASCII white space only
             sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
@@ -73,8 +74,9 @@ def blocks(docs: DataFrame, train: Column, text: str, key: str, block_bytes: int
             codes, distinct = pd.factorize(flat)
             keys = np.fromiter((END if w == b" " else xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct)) | np.uint64(1)
             flags = np.array(batch.column("train").to_pylist(), bool)
+            held_out = np.array(batch.column("held").to_pylist(), bool) & ((number - first) % HELD_BLOCKS == 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((number, pa.int64()), (len(flat), pa.int64()), (int(sizes[flags].sum()), pa.int64()), (batch.column("id").to_pylist(), pa.list_(pa.int64())), (sizes.tolist(), pa.list_(pa.int32())), (flags.tolist(), pa.list_(pa.bool_())), (batch.column("held").to_pylist(), pa.list_(pa.bool_())), (_zip(codes.astype(np.uint32)), pa.binary()), (keys.tobytes(), pa.binary()))],
+                [pa.array([x], t) for x, t in ((number, pa.int64()), (len(flat), pa.int64()), (int(sizes[flags].sum()), pa.int64()), (batch.column("id").to_pylist(), pa.list_(pa.int64())), (sizes.tolist(), pa.list_(pa.int32())), (flags.tolist(), pa.list_(pa.bool_())), (held_out.tolist(), pa.list_(pa.bool_())), (_zip(codes.astype(np.uint32)), pa.binary()), (keys.tobytes(), pa.binary()))],
                 names=["block", "n", "n_train", "ids", "sizes", "train", "held", "tokens", "words"],
             )
             number += 1
@@ -82,6 +84,13 @@ def blocks(docs: DataFrame, train: Column, text: str, key: str, block_bytes: int
     return picked.mapInArrow(run, BLOCKS)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one: each is a whole block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 class Block:
     def __init__(self, row: dict):
         self.ids, self.sizes = row["ids"], np.array(row["sizes"], np.int64)
@@ -123,18 +132,17 @@ def _full(thin: bytes) -> np.ndarray:
 
 
 def _requests(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            b = Block(row)
-            n_train, n_kept = b.counts(b.train), b.counts(b.train & ~b.held)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(b.keys >> np.uint64(64 - bits))) + 1, [len(b.keys)]])
-            out = [(int(b.keys[i] >> np.uint64(64 - bits)), _thin(b.keys[i:j]), _zip(n_train[i:j]), _zip(n_kept[i:j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([row["block"]] * len(out), pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "block", "keys", "n_train", "n_kept"])
+    for row in _rows(batches):
+        b = Block(row)
+        n_train, n_kept = b.counts(b.train), b.counts(b.train & ~b.held)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(b.keys >> np.uint64(64 - bits))) + 1, [len(b.keys)]])
+        out = [(int(b.keys[i] >> np.uint64(64 - bits)), _thin(b.keys[i:j]), _zip(n_train[i:j]), _zip(n_kept[i:j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        cols = list(zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([row["block"]] * len(out), pa.int64()), pa.array([bool(b.held.any())] * len(out)), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "block", "held", "keys", "n_train", "n_kept"])
 
 
 def _sums(group: pa.Table) -> pa.Table:
-    """Totals of one bucket's keys, in each block's order; n_types: distinct unigrams of the training documents, once a bucket."""
+    """Totals of one bucket's keys, in each block's order (of retained documents, k: for blocks with held-out ones only); n_types: distinct unigrams of the training documents, once a bucket."""
     keys = [_full(x) for x in group.column("keys").to_pylist()]
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
     distinct = int(place.max()) + 1
@@ -144,7 +152,7 @@ def _sums(group: pa.Table) -> pa.Table:
     odd[place] = (np.concatenate(keys) & np.uint64(1)).astype(bool)
     types = [int((odd & (totals[0] > 0)).sum())] + [0] * (len(keys) - 1)
     places = np.split(place, cuts)
-    return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "n_types": pa.array(types, pa.int64()), "t": pa.array([_zip(totals[0][p]) for p in places], pa.binary()), "k": pa.array([_zip(totals[1][p]) for p in places], pa.binary())})
+    return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "n_types": pa.array(types, pa.int64()), "t": pa.array([_zip(totals[0][p]) for p in places], pa.binary()), "k": pa.array([_zip(totals[1][p]) if h else None for p, h in zip(places, group.column("held").to_pylist(), strict=True)], pa.binary())})
 
 
 def _totals(row: dict, name: str) -> np.ndarray:
@@ -162,14 +170,13 @@ def _ratio(a: np.ndarray, b) -> np.ndarray:
 
 def _held_out(batches: Iterator[pa.RecordBatch], kept_tokens: int) -> Iterator[pa.RecordBatch]:
     """(bucket, rounded bigram and unigram estimates, tokens) of held-out tokens under retained counts."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            b, k = Block(row), _totals(row, "k")
-            on = np.repeat(b.held, b.sizes)
-            history, word, pair = k[b.before[on]], k[b.uni[on]], k[b.bi[on]]
-            code = lambda f: np.where(f > 0, np.round(STEPS * np.log2(np.maximum(f, 1e-300))), NONE).astype(np.int64)
-            cells, n = np.unique(np.stack([_bucket(history), code(_ratio(pair, history)), code(_ratio(word, kept_tokens))], 1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cells[:, 0], pa.int64()), pa.array(cells[:, 1], pa.int64()), pa.array(cells[:, 2], pa.int64()), pa.array(n, pa.int64())], names=["bucket", "f2", "f1", "n"])
+    for row in _rows(batches):
+        b, k = Block(row), _totals(row, "k")
+        on = np.repeat(b.held, b.sizes)
+        history, word, pair = k[b.before[on]], k[b.uni[on]], k[b.bi[on]]
+        code = lambda f: np.where(f > 0, np.round(STEPS * np.log2(np.maximum(f, 1e-300))), NONE).astype(np.int64)
+        cells, n = np.unique(np.stack([_bucket(history), code(_ratio(pair, history)), code(_ratio(word, kept_tokens))], 1), axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cells[:, 0], pa.int64()), pa.array(cells[:, 1], pa.int64()), pa.array(cells[:, 2], pa.int64()), pa.array(n, pa.int64())], names=["bucket", "f2", "f1", "n"])
 
 
 def fit_weights(cells: list[tuple[int, int, int, int]], even: float) -> dict[int, tuple[float, float, float]]:
@@ -189,20 +196,20 @@ def fit_weights(cells: list[tuple[int, int, int, int]], even: float) -> dict[int
     return out
 
 
-def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", block_bytes: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", block_bytes: int = 6_000_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; counts come from the rows that train tells."""
     packed = written(blocks(docs, train, text, key, block_bytes), "blocks")
     tokens, train_tokens = packed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
     kept_sizes = F.aggregate(F.zip_with(F.zip_with("train", "held", lambda t, h: t & ~h), "sizes", lambda on, n: F.when(on, n).otherwise(0)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     kept_tokens = packed.agg(F.coalesce(F.sum(kept_sizes), F.lit(0))).first()[0]
     bits = min(20, max(4, math.ceil(math.log2(max(1, tokens / 1_000_000)))))
-    asked = packed.mapInArrow(lambda it: _requests(it, bits), "bucket int, block bigint, keys binary, n_train binary, n_kept binary")
+    asked = packed.mapInArrow(lambda it: _requests(it, bits), "bucket int, block bigint, held boolean, keys binary, n_train binary, n_kept binary")
     replies = written(asked.groupBy("bucket").applyInArrow(_sums, "block bigint, bucket int, n_types bigint, t binary, k binary"), "replies")
     types = replies.agg(F.coalesce(F.sum("n_types"), F.lit(0))).first()[0]
     even = 1 / (types + 1)
 
     def answered(some: DataFrame, name: str) -> DataFrame:
-        own = replies.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("bucket", name)).alias("replies"))
+        own = replies.where(F.col(name).isNotNull()).groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("bucket", name)).alias("replies"))
         return some.join(own, F.col("block") == F.col("b")).drop("b")
 
     # of the held-out tokens only
@@ -211,18 +218,17 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     table = np.array([weights.get(k, (0.3, 0.4, 0.3) if k else (0.0, 0.7, 0.3)) for k in range(66)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b, t = Block(row), _totals(row, "t")
-                history, word, pair = t[b.before], t[b.uni], t[b.bi]
-                w = table[_bucket(history)]
-                p = w[:, 0] * _ratio(pair, history) + w[:, 1] * _ratio(word, train_tokens) + w[:, 2] * even
-                total = lambda x: np.add.reduceat(x, b.begins)
-                base = np.log10(word + 1) - math.log10(train_tokens + types + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.ids, pa.int64()), pa.array(b.train), pa.array(b.sizes, pa.int64()), pa.array(total((word > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(b.sizes), train_tokens), pa.int64()), pa.array(total(base), pa.float64()), pa.array(total(np.log10(p)), pa.float64())],
-                    names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for row in _rows(batches):
+            b, t = Block(row), _totals(row, "t")
+            history, word, pair = t[b.before], t[b.uni], t[b.bi]
+            w = table[_bucket(history)]
+            p = w[:, 0] * _ratio(pair, history) + w[:, 1] * _ratio(word, train_tokens) + w[:, 2] * even
+            total = lambda x: np.add.reduceat(x, b.begins)
+            base = np.log10(word + 1) - math.log10(train_tokens + types + 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(b.ids, pa.int64()), pa.array(b.train), pa.array(b.sizes, pa.int64()), pa.array(total((word > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(b.sizes), train_tokens), pa.int64()), pa.array(total(base), pa.float64()), pa.array(total(np.log10(p)), pa.float64())],
+                names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return answered(packed, "t").mapInArrow(run, "id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
