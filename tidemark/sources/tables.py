@@ -81,8 +81,10 @@ def load(spark: SparkSession, source: str) -> DataFrame:
         except Exception as e:
             raise LoadError(f"cannot read {masked(source)}: {type(e).__name__}") from None
     suffix = os.path.splitext(source.rstrip("/"))[1].lower()
-    if "://" not in source and not os.path.exists(source):
-        raise FileNotFoundError(source)
+    if "://" not in source:
+        if not os.path.exists(source):
+            raise FileNotFoundError(source)
+        source = os.path.abspath(source)  # the JVM may work in another folder
     if suffix not in SUFFIXES:
         raise LoadError(f"unsupported format {suffix or source!r}; supported: {', '.join(SUFFIXES)}")
     try:
