@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import kpi
-from tidemark.operators.distribution import ks_statistics, null_rates, spreads
+from tidemark.operators.distribution import category_changes, category_statistics, ks_statistics, null_rates, numeric_shapes
 from tidemark.operators.profile import semantic_types
 from tidemark.plans import catalog, lens
 from tidemark.plans.compare import compare, compute_diff
@@ -69,9 +69,19 @@ def test_duplicate_keys_count_nulls(spark):
     assert f.metric["duplicate_count"] == 4
 
 
-def test_quantiles(spark):
-    s = spreads(spark.createDataFrame([(float(x),) for x in (1, 2, 4, 8, 9, 11)], "x double"), ["x"])["x"]
-    assert (s["p25"], s["median"], s["p75"]) == (2.5, 6.0, 8.75) and s["std"] == pytest.approx(4.070217029430577)
+@pytest.mark.parametrize("buckets", [2, 3, 128])
+def test_quantiles(spark, buckets):
+    frame = lambda v: spark.createDataFrame([(float(x),) for x in v], "x double")
+    r = numeric_shapes(frame((1, 2, 4, 8, 9, 11)), frame((5, 5, 5)), ["x"], buckets).first()
+    assert (r["p25_before"], r["median_before"], r["p75_before"]) == (2.5, 6.0, 8.75) and r["median_after"] == 5.0
+
+
+def test_many_categories_stay_bounded(spark):
+    b = spark.range(3000).selectExpr("CAST(id AS STRING) AS c")
+    a = spark.range(1500, 6000).selectExpr("CAST(id AS STRING) AS c")
+    x = category_statistics(b, a, ["c"], 0.1)["c"]
+    assert (x["new"], x["gone"], x["known"], len(x["new_values"]), len(x["gone_values"]), x["moved"]) == (3000, 1500, 3000, 1000, 1000, [])
+    assert [f.severity for f in category_changes("c", x)] == ["INFO", "WARN"]
 
 
 def test_threshold_is_strict():

@@ -111,12 +111,14 @@ def mean_shift(b: DataFrame, a: DataFrame) -> DataFrame:
 
 
 def numeric_summary(b: DataFrame, a: DataFrame) -> DataFrame:
+    shapes = dist.numeric_shapes(b, a, ["o_totalprice"])
+    cells = [F.struct(F.lit(side).alias("side"), *[F.round(f"{q}_{side}", 4).alias(q) for q in dist.QUARTILES]) for side in ("before", "after")]
+
     def summary(df: DataFrame) -> DataFrame:
         x = dist.number("o_totalprice")
-        n = df.agg(F.avg(x).alias("mean"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_samp(x).alias("std"))
-        return n.select(F.round("mean", 4).alias("mean"), F.round(F.col("q")[1], 4).alias("median"), F.round("std", 4).alias("std"), F.round(F.col("q")[0], 4).alias("p25"), F.round(F.col("q")[2], 4).alias("p75"))
+        return df.agg(F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("std"))
 
-    return _sides(b, a, summary)
+    return _sides(b, a, summary).join(shapes.select(F.inline(F.array(*cells))), "side")
 
 
 def ks_statistic(b: DataFrame, a: DataFrame) -> DataFrame:
