@@ -68,7 +68,7 @@ def cosines(files: DataFrame, file: str, text: str) -> DataFrame:
     n_files = terms.select("f").distinct().count()
     df = terms.groupBy("term").agg(F.countDistinct("f").alias("df"))
     # templates: a constant number of rows
-    templates = spark.createDataFrame(_template_terms(), "license string, term string, k bigint")
+    templates = spark.sql("SELECT license, term, CAST(k AS BIGINT) AS k FROM VALUES " + ", ".join(f"('{n}', '{t}', {k})" for n, t, k in _template_terms()) + " t(license, term, k)")
     idf = lambda d: F.log(F.lit(1 + n_files) / (1 + d)) + 1
     weighted = templates.join(df, "term", "left").withColumn("w", F.col("k") * idf(F.coalesce("df", F.lit(0))))
     norms = weighted.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
