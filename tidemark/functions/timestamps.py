@@ -22,6 +22,8 @@ SHAPES = (
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
     (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M$", "M/d/yyyy h:mm a"),
 )
+#: What any of the shapes begins with; most texts fail here, at the cost of one match.
+BEGIN = r"^(\d{1,4}[-/. ]|\d{4}$|\d{8}$|[A-Z][a-z]{2}, \d)"
 RFC1123 = r"^[A-Z][a-z]{2}, \d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [A-Z]{3}$"
 
 
@@ -29,7 +31,7 @@ def parsed(column: Column) -> Column:
     """The timestamp that a text stands for, or null."""
     tries = [F.when(column.rlike(shape), F.try_to_timestamp(column, F.lit(fmt)) if fmt else F.try_to_timestamp(column)) for shape, fmt in SHAPES]
     tries.append(F.when(column.rlike(RFC1123), F.try_to_timestamp(F.regexp_replace(column, r"^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))))
-    return F.coalesce(*tries)
+    return F.when(column.rlike(BEGIN), F.coalesce(*tries))
 
 
 def days_since(column: Column, as_of: Column) -> Column:
