@@ -13,6 +13,7 @@ smaller id; an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from tidemark.llm._shared import written
 
 #: Vectors of a block, queries of a block, and dimensions of a step.
 CANDIDATES, QUERIES, STEP = 8192, 512, 8
+#: Candidate blocks of a slot.
+SLOT_BLOCKS = 8
 
 
 def _packed(vectors: DataFrame, size: int) -> DataFrame:
@@ -99,13 +102,17 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(s) for s, _ in found]), pa.int64()), pa.array(np.concatenate([i for _, i in found]), pa.int64()), pa.array(np.concatenate([s for s, _ in found]), pa.int64())], names=["query_id", "vec_id", "score"])
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", slots: int = 16) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates of each query row against all rows."""
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", least_slots: int = 16) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best candidates of each query row against all rows.
+
+    Candidate blocks are dealt over slots, SLOT_BLOCKS to a slot on average but at least least_slots slots, so that tasks keep their size.
+    """
     as_ints = F.transform(F.col(vector), lambda x: F.floor(F.lit(scale) * x.cast("double")))
     sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
     good = vectors.where(F.coalesce(sound, F.lit(False)))
     shape = good.select(F.col(key).cast("bigint").alias("id"), as_ints.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     names = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("n", "dims", "ids", "m")]
+    slots = max(least_slots, math.ceil(good.count() / (CANDIDATES * SLOT_BLOCKS)))
     candidates = _packed(shape.select("id", "v"), CANDIDATES).select(*names("c"), F.pmod(F.xxhash64("ids"), F.lit(slots)).alias("slot"))
     queries = _packed(shape.where("q").dropDuplicates(["id", "v"]).select("id", "v"), QUERIES).select(*names("q"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))).alias("slot"))
     parts = written(candidates.join(queries, "slot").drop("slot").mapInArrow(lambda it: _searched(it, k), "query_id bigint, vec_id bigint, score bigint"), "top")
