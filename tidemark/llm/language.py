@@ -7,7 +7,7 @@ shorter context is asked, down to 1/256 (method C, no exclusions). A text goes t
 all of its bytes; its score is that language's share of 2^-length over the languages (a posterior with equal priors).
 
 Statistics come from a bounded sample: of each language about `sample_bytes` bytes of text in the documents that may be
-learned from, chosen by a hash of the id. Scoring reads whole texts.
+learned from, chosen by a hash of the id (the least hash is always in). Scoring reads whole texts.
 
 Defined results: null texts and texts without a letter get `und` and score 0; with no labelled document every text is
 `und`; null languages are not learned; repeated rows repeat their result; ties go to the first language by code point.
@@ -87,11 +87,13 @@ class Tree:
 def learn(docs: DataFrame, allowed: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_bytes: int = 1_500_000) -> dict[str, Tree]:
     """A tree for each language of the allowed rows. Only the sample comes to the driver: about sample_bytes for a language."""
     usable = docs.where(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)).alias("h"))
-    sizes = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.sum(F.octet_length("t")).alias("n")).collect()}
+    with_text = F.octet_length("t") > 0
+    sizes = {r["l"]: (r["n"], r["h"]) for r in usable.where(with_text).groupBy("l").agg(F.sum(F.octet_length("t")).alias("n"), F.min("h").alias("h")).collect()}
     if not sizes:
         return {}
-    share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, sample_bytes / max(n, 1))))])
-    picked = usable.where(F.col("h") < F.element_at(share, F.col("l")) * F.lit(float(1 << 30))).select("l", "h", "t").collect()
+    # the least hash is always in, so that a language of a few long documents is learned too
+    below = F.create_map(*[x for k, (n, h) in sorted(sizes.items()) for x in (F.lit(k), F.lit(max(min(1.0, sample_bytes / n) * (1 << 30), h + 1.0)))])
+    picked = usable.where(with_text & (F.col("h") < F.element_at(below, F.col("l")))).select("l", "h", "t").collect()
     texts: dict[str, list[bytes]] = {k: [] for k in sizes}
     for r in sorted(picked, key=lambda r: (r["l"], r["h"], r["t"])):
         texts[r["l"]].append(r["t"].encode())
