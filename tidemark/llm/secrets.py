@@ -45,7 +45,8 @@ BASE = (
 )
 #: Public formats of credentials besides.
 MORE = (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # with its body and end line, where they follow before any other dashed line
+    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("github", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
