@@ -309,7 +309,11 @@ def test_op5(spark, docs, small, sf_dir):
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_op6(spark):
+@pytest.mark.parametrize(("candidates", "slot_blocks"), [(8192, 8), (8, 1)])
+def test_op6(spark, candidates, slot_blocks, monkeypatch):
+    # small blocks make more slots than the least number of them
+    monkeypatch.setattr(topk, "CANDIDATES", candidates)
+    monkeypatch.setattr(topk, "SLOT_BLOCKS", slot_blocks)
     rng = np.random.default_rng(4)
     rows = [(k, (rng.normal(size=16) * 0.3).astype(np.float32).tolist()) for k in range(230)]
     rows += [(300, rows[0][1]), (301, rows[0][1]), (302, None), (303, [1.0, None]), (304, [float("nan")]), (305, [float("inf")]), (None, rows[1][1]), (306, []), (350, [0.5])]
@@ -372,6 +376,9 @@ def test_op7(docs, small):
     trees = language.learn(docs, F.lit(True))
     kept = language.accepted(docs, trees, least=0.0)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(TEXTS))) - {0, 1, 2, 16}
+    # a language of a few texts longer than the sample is learned too; one of empty texts is not
+    assert set(language.learn(docs, F.lit(True), sample_bytes=1)) == {"en", "de"}
+    assert language.learn(docs.where("doc_id = 1"), F.lit(True)) == {}
 
 
 # 8 ---------------------------------------------------------------------------------------------------------------
@@ -400,6 +407,13 @@ def test_op8(docs, small):
     assert masked[0]["text"] is None and "AKIA" not in masked[11]["text"] and masked[3]["text"] == "word"
 
 
+def test_private_keys_go_with_their_bodies():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nDEK-Info: AES-128-CBC,0A\n\nMIIabc+/=\n-----END RSA PRIVATE KEY-----"
+    scanner = secrets.Scanner((secrets.MORE[0],))
+    bare, other = "-----BEGIN PRIVATE KEY-----", "-----BEGIN CERTIFICATE-----"
+    assert scanner.block([f"x{key} y {key}", f"{bare} word", f"{bare} {other} {key}"]) == [[(1, 0, 1 + len(key)), (4 + len(key), 0, 4 + 2 * len(key))], [(0, 0, len(bare))], [(0, 0, len(bare)), (len(bare) + len(other) + 2, 0, len(bare) + len(other) + 2 + len(key))]]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", frozenset({"aki", "kia"}))
     assert secrets.trigram_query("[0-9a-f]{24,}") is True and secrets.trigram_query("(?:abc)?x") is True
