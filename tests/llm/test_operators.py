@@ -497,6 +497,17 @@ def test_op10(spark, docs):
     assert licenses.op10(empty(docs)).count() == 0
 
 
+def test_licence_statistics_are_of_all_files(spark):
+    prose = "storm over green hills"
+    texts = ["Released under the MIT License."] * 20 + [f"Released under the MIT License. {prose}"] + [prose] * 100
+    df = spark.createDataFrame([(k, f"d/{k}", t) for k, t in enumerate([*texts, None])], "id bigint, path string, body string")
+    n_files, counts = licenses.frequencies(df.union(df), "id", "body")
+    assert n_files == 122 and dict(counts.collect()) == {"released": 21, "under": 21, "mit": 21, "license": 21, "storm": 101, "over": 101, "green": 101, "hills": 101}
+    a, b = math.log(123 / 22) + 1, math.log(123 / 102) + 1
+    got = by_id(licenses.scan(df, "id", "path", "body", F.lit(False)), "id")
+    assert got[20]["own_license"] == "MIT" and got[20]["own_cosine"] == pytest.approx(a / math.sqrt(a * a + b * b), abs=1e-6) and got[0]["own_cosine"] == 1 and got[21]["license"] is None
+
+
 # all -------------------------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Licence scan in DataFrame operations only.
 
 Every line of every file that shares a term with a licence template is a possible header. Lines and templates are
-sparse TF-IDF vectors (document frequencies over all files that have such a line), and a line's licence is the template of the greatest cosine, if
+sparse TF-IDF vectors (document frequencies of all terms over all files), and a line's licence is the template of the greatest cosine, if
 that reaches `least`. A file's own licence is that of its best line. Licence files (a column tells which they are) are matched by
 the same vectors, and hand their licence to all files below their directory: a file without own licence inherits from its
 nearest ancestor directory, found by joining the file's ancestor paths with the directories of licence files.
@@ -16,6 +16,8 @@ empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,39 +52,75 @@ def _template_terms() -> list[tuple[str, str, int]]:
     return [(n, t, k) for (n, t), k in sorted(out.items())]
 
 
-def _terms(line: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(line), F.lit(f"({TERM})"), F.lit(1))
+def _terms(text: Column) -> Column:
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
     return F.filter(found, lambda x: ~x.isin(*STOP))
 
 
-def cosines(files: DataFrame, file: str, text: str) -> DataFrame:
-    """file, line_no, license, cosine (6 decimals) for the lines that share a term with a template; file must name rows."""
-    spark = files.sparkSession
-    vocabulary = sorted({t for _, t, _ in _template_terms()})
-    words = [t for t in vocabulary if not t.replace(".", "").isdigit()]
+def frequencies(files: DataFrame, file: str, text: str) -> tuple[int, DataFrame]:
+    """The number of files, and term, df over all terms of all files; rows of one file count once."""
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({TERM})"), F.lit(1))
+    pairs = files.select(F.col(file).alias("f"), F.explode(F.array_except(found, F.array(*map(F.lit, STOP)))).alias("term"))
+    n_rows, n_files = files.agg(F.count(file), F.countDistinct(file)).first()
+    if n_rows > n_files:  # else the pairs of a row are distinct as they are
+        pairs = pairs.distinct()
+    return n_files, written(pairs.groupBy("term").agg(F.count("f").alias("df")), "licence-df")
+
+
+def _idf(n_files: int, df: int) -> float:
+    return math.log((1 + n_files) / (1 + df)) + 1
+
+
+def _weigh(templates: list[tuple[str, str, int]], n_files: int, df: DataFrame) -> dict[str, dict[str, float]]:
+    """Vectors of the templates; their terms are a constant number."""
+    known = dict(df.where(F.col("term").isin(sorted({t for _, t, _ in templates}))).select("term", "df").collect())
+    out: dict[str, dict[str, float]] = {}
+    for name, term, k in templates:
+        out.setdefault(name, {})[term] = k * _idf(n_files, known.get(term, 0))
+    return out
+
+
+def _reaches(terms: Column, vectors: dict[str, dict[str, float]], least: float) -> Column:
+    """Whether a text of these terms can have the cosine least with any template. By Cauchy and Schwarz the cosine is at most the
+    share of the template's norm that lies in common terms, so texts with fewer of them than its heaviest terms would need cannot."""
+    able = F.lit(False)
+    for vector in vectors.values():
+        squares = sorted((w * w for w in vector.values()), reverse=True)
+        need, sum_ = 0, 0.0
+        while need < len(squares) and (need == 0 or sum_ < (max(least, 0) - 1e-6) ** 2 * sum(squares)):  # results are rounded
+            sum_, need = sum_ + squares[need], need + 1
+        able |= F.size(F.array_intersect(terms, F.array(*map(F.lit, sorted(vector))))) >= need
+    return able
+
+
+def _compare(units: DataFrame, keys: list[str], vectors: dict[str, dict[str, float]], n_files: int, df: DataFrame) -> DataFrame:
+    """keys, license, cosine (6 decimals) of each unit (keys, terms) and each template with which it shares a term."""
+    spark = units.sparkSession
+    counted = written(units.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf")).join(df, "term"), "licence-terms")
+    rows = ", ".join(f"('{name}', '{term}', CAST({w!r} AS DOUBLE), CAST({math.sqrt(sum(x * x for x in v.values()))!r} AS DOUBLE))" for name, v in vectors.items() for term, w in v.items())
+    templates = F.broadcast(spark.sql(f"SELECT * FROM VALUES {rows} t(license, term, t_w, t_norm)"))
+    weighted = counted.withColumn("w", F.col("tf") * (F.log(F.lit(1 + n_files) / (1 + F.col("df"))) + 1))
+    norms = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighted.join(templates, "term").groupBy(*keys, "license", "t_norm").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
+    return dots.join(norms, keys).select(*keys, "license", F.round(F.col("dot") / (F.col("t_norm") * F.col("norm")), 6).alias("cosine"))
+
+
+def cosines(files: DataFrame, file: str, text: str, least: float = 0.0) -> DataFrame:
+    """file, line_no, license, cosine (6 decimals) of the lines that share a term with a template, if that reaches least; file must name rows."""
+    n_files, df = frequencies(files, file, text)
+    vectors = _weigh(_template_terms(), n_files, df)
+    words = sorted({t for v in vectors.values() for t in v if not t.replace(".", "").isdigit()})
     # a first look at whole texts, so that only texts with a licence term are split into lines; numbers alone make no header
     shares = lambda c: F.lower(c).rlike(r"(?<![a-z0-9.])(?:" + "|".join(w.replace(".", r"\.") for w in words) + r")(?![a-z0-9])")
     lines = files.select(F.col(file).alias("f"), F.col(text).alias("t")).where(shares("t")).select("f", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).where(shares("line"))
-    # written once: the texts are read for this only
-    terms = written(lines.select("f", "line_no", F.explode(_terms(F.col("line"))).alias("term")).groupBy("f", "line_no", "term").agg(F.count("*").alias("tf")), "licence-terms")
-    n_files = terms.select("f").distinct().count()
-    df = terms.groupBy("term").agg(F.countDistinct("f").alias("df"))
-    # templates: a constant number of rows
-    templates = spark.sql("SELECT license, term, CAST(k AS BIGINT) AS k FROM VALUES " + ", ".join(f"('{n}', '{t}', {k})" for n, t, k in _template_terms()) + " t(license, term, k)")
-    idf = lambda d: F.log(F.lit(1 + n_files) / (1 + d)) + 1
-    weighted = templates.join(df, "term", "left").withColumn("w", F.col("k") * idf(F.coalesce("df", F.lit(0))))
-    norms = weighted.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    template_vectors = F.broadcast(weighted.select("license", "term", F.col("w").alias("t_w")).join(norms, "license"))
-    vectors = terms.join(df, "term").withColumn("w", F.col("tf") * idf(F.col("df"))).select("f", "line_no", "term", "w")
-    line_norms = vectors.groupBy("f", "line_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l_norm"))
-    dots = vectors.join(template_vectors, "term").groupBy("f", "line_no", "license", "t_norm").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
-    return dots.join(line_norms, ["f", "line_no"]).select(F.col("f").alias(file), "line_no", "license", F.round(F.col("dot") / (F.col("t_norm") * F.col("l_norm")), 6).alias("cosine"))
+    units = lines.select("f", "line_no", _terms(F.col("line")).alias("terms")).where(_reaches(F.col("terms"), vectors, least))
+    return _compare(units, ["f", "line_no"], vectors, n_files, df).where(F.col("cosine") >= least).withColumnRenamed("f", file)
 
 
 def scan(files: DataFrame, file: str, path: str, text: str, is_license_file: Column, least: float = 0.7) -> DataFrame:
     """file, path, own_license, own_cosine, license, inherited_from (directory, or null) for every row; file must name rows uniquely for inheritance to be told apart."""
     base = files.select(F.col(file).alias("f"), F.col(path).alias("p"), F.col(text).alias("t"), F.coalesce(is_license_file, F.lit(False)).alias("licence_file"))
-    best = cosines(base, "f", "t").where(F.col("cosine") >= least).groupBy("f").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("m"))
+    best = cosines(base, "f", "t", least).groupBy("f").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("m"))
     own = base.select("f", "p", "licence_file").join(best.select(F.col("f").alias("b"), F.col("m.license").alias("own_license"), (-F.col("m.c")).alias("own_cosine")), F.col("f").eqNullSafe(F.col("b")), "left").drop("b")
     directory = F.regexp_replace("p", "/[^/]*$", "")
     handed = own.where(F.col("licence_file") & F.col("own_license").isNotNull() & F.col("p").contains("/")).groupBy(directory.alias("dir")).agg(F.min(F.struct((-F.col("own_cosine")).alias("c"), F.col("own_license"))).alias("m")).select("dir", F.col("m.own_license").alias("dir_license"))
