@@ -508,6 +508,19 @@ def test_licence_statistics_are_of_all_files(spark):
     assert got[20]["own_license"] == "MIT" and got[20]["own_cosine"] == pytest.approx(a / math.sqrt(a * a + b * b), abs=1e-6) and got[0]["own_cosine"] == 1 and got[21]["license"] is None
 
 
+def test_licence_bodies_and_wrapped_headers(spark):
+    prose = "storm over green hills"
+    bodies = {p.stem: p.read_text() for p in licenses.BODIES.glob("*.txt")}
+    files = [(k, f"{name}/LICENSE", f"{text}\r\nCopyright (c) 2020 Some Holder\r\n") for k, (name, text) in enumerate(sorted(bodies.items()))]
+    files += [(100 + k, f"{name}/x.py", prose) for k, name in enumerate(sorted(bodies))]
+    files += [(200, "w/a.py", f"{prose}\n# Licensed under the Apache\n# License, Version\n# 2.0\n{prose}"), (201, "w/b.py", f"# Released under\n# the MIT License\n{prose}"), (202, "w/c.py", bodies["MIT"])]
+    df = spark.createDataFrame([*files, *((300 + k, f"p/{k}", prose) for k in range(50))], "id bigint, path string, body string")
+    got = by_id(licenses.scan(df, "id", "path", "body", F.col("path").endswith("LICENSE")), "id")
+    for k, name in enumerate(sorted(bodies)):
+        assert (got[k]["own_license"], got[100 + k]["license"], got[100 + k]["inherited_from"]) == (name, name, name)
+    assert (got[200]["own_license"], got[201]["own_license"], got[202]["own_license"], got[300]["license"]) == ("Apache-2.0", "MIT", None, None)
+
+
 # all -------------------------------------------------------------------------------------------------------------
 
 

@@ -1,15 +1,16 @@
 """Licence scan in DataFrame operations only.
 
-Every line of every file that shares a term with a licence template is a possible header. Lines and templates are
-sparse TF-IDF vectors (document frequencies of all terms over all files), and a line's licence is the template of the greatest cosine, if
-that reaches `least`. A file's own licence is that of its best line. Licence files (a column tells which they are) are matched by
-the same vectors, and hand their licence to all files below their directory: a file without own licence inherits from its
+Every window of 1 to WRAP adjacent lines of every file that shares a term with a header template is a possible header; the
+whole text of a licence file (a column tells which they are) is compared with the bodies of licences. Texts and templates are
+sparse TF-IDF vectors (document frequencies of all terms over all files), and a text's licence is the template of the greatest
+cosine, if that reaches `least`. A file's own licence is that of its best header or, for licence files, of its whole text if
+that is nearer. Licence files hand their licence to all files below their directory: a file without own licence inherits from its
 nearest ancestor directory, found by joining the file's ancestor paths with the directories of licence files.
 
-Terms are [a-z0-9.]+ of the lower-cased line, without dots at their ends and without the stop list; templates have no other terms, so a line that shares none has cosine 0
+Terms are [a-z0-9.]+ of the lower-cased line, without dots at their ends and without the stop list; templates have no other terms, so a text that shares none has cosine 0
 with each of them.
 
-Defined results: null texts are empty; null paths belong to no directory, neither hand on nor inherit; ties between templates, lines or licence files of a
+Defined results: null texts are empty; null paths belong to no directory, neither hand on nor inherit; ties between templates, texts or licence files of a
 directory go to the greater cosine and then the lesser name; repeated rows repeat their result; an empty table gives an
 empty result; extra columns are not read.
 """
@@ -17,6 +18,8 @@ empty result; extra columns are not read.
 from __future__ import annotations
 
 import math
+import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +44,29 @@ STOP = ("a", "an", "and", "are", "by", "form", "in", "is", "of", "or", "the", "t
 TERM = r"[a-z0-9.]*[a-z0-9]"
 
 
-def _template_terms() -> list[tuple[str, str, int]]:
-    import re
+#: A header may be wrapped over so many lines.
+WRAP = 3
+#: Whole licences, one text a licence, by its name; the licences of Creative Commons have headers only.
+BODIES = Path(__file__).with_name("licence_texts")
+
 
+def _counted(texts: dict[str, str]) -> list[tuple[str, str, int]]:
     out: dict[tuple[str, str], int] = {}
-    for name, text in TEMPLATES.items():
+    for name, text in texts.items():
         for term in re.findall(TERM, text.lower()):
             if term not in STOP:
                 out[name, term] = out.get((name, term), 0) + 1
     return [(n, t, k) for (n, t), k in sorted(out.items())]
 
 
+def _template_terms() -> list[tuple[str, str, int]]:
+    return _counted(TEMPLATES)
+
+
+def _body_terms() -> list[tuple[str, str, int]]:
+    return _counted({p.stem: p.read_text("utf-8") for p in sorted(BODIES.glob("*.txt"))})
+
+
 def _terms(text: Column) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
     return F.filter(found, lambda x: ~x.isin(*STOP))
@@ -105,22 +120,31 @@ def _compare(units: DataFrame, keys: list[str], vectors: dict[str, dict[str, flo
     return dots.join(norms, keys).select(*keys, "license", F.round(F.col("dot") / (F.col("t_norm") * F.col("norm")), 6).alias("cosine"))
 
 
-def cosines(files: DataFrame, file: str, text: str, least: float = 0.0) -> DataFrame:
-    """file, line_no, license, cosine (6 decimals) of the lines that share a term with a template, if that reaches least; file must name rows."""
+def cosines(files: DataFrame, file: str, text: str, least: float = 0.0, whole: Column | None = None) -> DataFrame:
+    """file, line_no, n_lines, license, cosine (6 decimals) of what shares a term with a template, if that reaches least: windows of
+    1 to WRAP adjacent lines, and whole texts (n_lines 0) of the rows that whole tells; file must name rows."""
     n_files, df = frequencies(files, file, text)
     vectors = _weigh(_template_terms(), n_files, df)
     words = sorted({t for v in vectors.values() for t in v if not t.replace(".", "").isdigit()})
     # a first look at whole texts, so that only texts with a licence term are split into lines; numbers alone make no header
     shares = lambda c: F.lower(c).rlike(r"(?<![a-z0-9.])(?:" + "|".join(w.replace(".", r"\.") for w in words) + r")(?![a-z0-9])")
-    lines = files.select(F.col(file).alias("f"), F.col(text).alias("t")).where(shares("t")).select("f", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).where(shares("line"))
-    units = lines.select("f", "line_no", _terms(F.col("line")).alias("terms")).where(_reaches(F.col("terms"), vectors, least))
-    return _compare(units, ["f", "line_no"], vectors, n_files, df).where(F.col("cosine") >= least).withColumnRenamed("f", file)
+    lines = files.select(F.col(file).alias("f"), F.col(text).alias("t")).where(shares("t")).select("f", F.split("t", "\n").alias("lines"))
+    sized = lines.select("f", "lines", F.explode(F.sequence(F.lit(1), F.least(F.lit(WRAP), F.size("lines")))).alias("n_lines"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("lines") - F.col("n_lines") + 1), lambda i: F.array_join(F.slice("lines", i, F.col("n_lines")), "\n"))
+    units = sized.select("f", "n_lines", F.posexplode(windows).alias("line_no", "window")).where(shares("window")).select("f", "line_no", "n_lines", _terms(F.col("window")).alias("terms"))
+    keys = ["f", "line_no", "n_lines"]
+    found = _compare(units.where(_reaches(F.col("terms"), vectors, least)), keys, vectors, n_files, df)
+    if whole is not None:
+        bodies = _weigh(_body_terms(), n_files, df)
+        texts = files.where(whole).select(F.col(file).alias("f"), F.lit(0).alias("line_no"), F.lit(0).alias("n_lines"), _terms(F.col(text)).alias("terms"))
+        found = found.union(_compare(texts.where(_reaches(F.col("terms"), bodies, least)), keys, bodies, n_files, df))
+    return found.where(F.col("cosine") >= least).withColumnRenamed("f", file)
 
 
 def scan(files: DataFrame, file: str, path: str, text: str, is_license_file: Column, least: float = 0.7) -> DataFrame:
     """file, path, own_license, own_cosine, license, inherited_from (directory, or null) for every row; file must name rows uniquely for inheritance to be told apart."""
     base = files.select(F.col(file).alias("f"), F.col(path).alias("p"), F.col(text).alias("t"), F.coalesce(is_license_file, F.lit(False)).alias("licence_file"))
-    best = cosines(base, "f", "t", least).groupBy("f").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("m"))
+    best = cosines(base, "f", "t", least, F.col("licence_file")).groupBy("f").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("m"))
     own = base.select("f", "p", "licence_file").join(best.select(F.col("f").alias("b"), F.col("m.license").alias("own_license"), (-F.col("m.c")).alias("own_cosine")), F.col("f").eqNullSafe(F.col("b")), "left").drop("b")
     directory = F.regexp_replace("p", "/[^/]*$", "")
     handed = own.where(F.col("licence_file") & F.col("own_license").isNotNull() & F.col("p").contains("/")).groupBy(directory.alias("dir")).agg(F.min(F.struct((-F.col("own_cosine")).alias("c"), F.col("own_license"))).alias("m")).select("dir", F.col("m.own_license").alias("dir_license"))
