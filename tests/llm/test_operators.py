@@ -414,6 +414,13 @@ def test_private_keys_go_with_their_bodies():
     assert scanner.block([f"x{key} y {key}", f"{bare} word", f"{bare} {other} {key}"]) == [[(1, 0, 1 + len(key)), (4 + len(key), 0, 4 + 2 * len(key))], [(0, 0, len(bare))], [(0, 0, len(bare)), (len(bare) + len(other) + 2, 0, len(bare) + len(other) + 2 + len(key))]]
 
 
+def test_urls_of_any_length():
+    scanner = secrets.Scanner((next(r for r in secrets.MORE if r.kind == "url"),))
+    urls = [f"https://{'u' * n}:{'p' * m}@host.org" for n in (1, 64, 65, 5000) for m in (3, 128, 129, 200, 5000)]
+    assert scanner.block([f"a {u} b" for u in urls]) == [[(2, 0, 2 + len(u))] for u in urls]
+    assert scanner.block(["https://u:pp@host", "https://u:ppp host"]) == [[], []]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", frozenset({"aki", "kia"}))
     assert secrets.trigram_query("[0-9a-f]{24,}") is True and secrets.trigram_query("(?:abc)?x") is True

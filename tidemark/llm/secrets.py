@@ -52,7 +52,7 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("bearer", r"(?i:authorization: *bearer) +[A-Za-z0-9._~+/-]{16,}"),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,12}://[^\s/:@]{1,64}:[^\s/:@]{3,128}@[A-Za-z0-9.-]+"),
+    Rule("url", r"[a-z][a-z0-9+.-]{1,12}://[^\s/:@]++:[^\s/:@]{3,}+@[A-Za-z0-9.-]+"),
 )
 
 # --- Boolean trigram queries -------------------------------------------------------------------------------------
