@@ -21,7 +21,7 @@ import math
 import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import written
@@ -72,6 +72,11 @@ def _terms(text: Column) -> Column:
     return F.filter(found, lambda x: ~x.isin(*STOP))
 
 
+def _once(terms: Column) -> Column:
+    """terms, generated, so that a filter on them does not repeat their extraction for every template."""
+    return F.explode(F.array(terms))
+
+
 def frequencies(files: DataFrame, file: str, text: str) -> tuple[int, DataFrame]:
     """The number of files, and term, df over all terms of all files; rows of one file count once."""
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({TERM})"), F.lit(1))
@@ -86,9 +91,16 @@ def _idf(n_files: int, df: int) -> float:
     return math.log((1 + n_files) / (1 + df)) + 1
 
 
+def _rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """x, the fields of each row as an array of texts: one literal, as thousands of them take minutes to plan."""
+    text = "\n".join("\t".join(map(str, row)) for row in rows)
+    return spark.range(1).select(F.explode(F.split(F.lit(text), "\n")).alias("row")).select(F.split("row", "\t").alias("x"))
+
+
 def _weigh(templates: list[tuple[str, str, int]], n_files: int, df: DataFrame) -> dict[str, dict[str, float]]:
     """Vectors of the templates; their terms are a constant number."""
-    known = dict(df.where(F.col("term").isin(sorted({t for _, t, _ in templates}))).select("term", "df").collect())
+    terms = _rows(df.sparkSession, sorted({(t,) for _, t, _ in templates})).select(F.col("x")[0].alias("term"))
+    known = dict(df.join(F.broadcast(terms), "term").select("term", "df").collect())
     out: dict[str, dict[str, float]] = {}
     for name, term, k in templates:
         out.setdefault(name, {})[term] = k * _idf(n_files, known.get(term, 0))
@@ -104,7 +116,7 @@ def _reaches(terms: Column, vectors: dict[str, dict[str, float]], least: float)
         need, sum_ = 0, 0.0
         while need < len(squares) and (need == 0 or sum_ < (max(least, 0) - 1e-6) ** 2 * sum(squares)):  # results are rounded
             sum_, need = sum_ + squares[need], need + 1
-        able |= F.size(F.array_intersect(terms, F.array(*map(F.lit, sorted(vector))))) >= need
+        able |= F.size(F.array_intersect(terms, F.split(F.lit(" ".join(sorted(vector))), " "))) >= need
     return able
 
 
@@ -112,8 +124,9 @@ def _compare(units: DataFrame, keys: list[str], vectors: dict[str, dict[str, flo
     """keys, license, cosine (6 decimals) of each unit (keys, terms) and each template with which it shares a term."""
     spark = units.sparkSession
     counted = written(units.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf")).join(df, "term"), "licence-terms")
-    rows = ", ".join(f"('{name}', '{term}', CAST({w!r} AS DOUBLE), CAST({math.sqrt(sum(x * x for x in v.values()))!r} AS DOUBLE))" for name, v in vectors.items() for term, w in v.items())
-    templates = F.broadcast(spark.sql(f"SELECT * FROM VALUES {rows} t(license, term, t_w, t_norm)"))
+    rows = [(name, term, w, math.sqrt(sum(x * x for x in v.values()))) for name, v in vectors.items() for term, w in v.items()]
+    x = F.col("x")
+    templates = F.broadcast(_rows(spark, rows).select(x[0].alias("license"), x[1].alias("term"), x[2].cast("double").alias("t_w"), x[3].cast("double").alias("t_norm")))
     weighted = counted.withColumn("w", F.col("tf") * (F.log(F.lit(1 + n_files) / (1 + F.col("df"))) + 1))
     norms = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighted.join(templates, "term").groupBy(*keys, "license", "t_norm").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
@@ -131,12 +144,12 @@ def cosines(files: DataFrame, file: str, text: str, least: float = 0.0, whole: C
     lines = files.select(F.col(file).alias("f"), F.col(text).alias("t")).where(shares("t")).select("f", F.split("t", "\n").alias("lines"))
     sized = lines.select("f", "lines", F.explode(F.sequence(F.lit(1), F.least(F.lit(WRAP), F.size("lines")))).alias("n_lines"))
     windows = F.transform(F.sequence(F.lit(1), F.size("lines") - F.col("n_lines") + 1), lambda i: F.array_join(F.slice("lines", i, F.col("n_lines")), "\n"))
-    units = sized.select("f", "n_lines", F.posexplode(windows).alias("line_no", "window")).where(shares("window")).select("f", "line_no", "n_lines", _terms(F.col("window")).alias("terms"))
+    units = sized.select("f", "n_lines", F.posexplode(windows).alias("line_no", "window")).where(shares("window")).select("f", "line_no", "n_lines", _once(_terms(F.col("window"))).alias("terms"))
     keys = ["f", "line_no", "n_lines"]
     found = _compare(units.where(_reaches(F.col("terms"), vectors, least)), keys, vectors, n_files, df)
     if whole is not None:
         bodies = _weigh(_body_terms(), n_files, df)
-        texts = files.where(whole).select(F.col(file).alias("f"), F.lit(0).alias("line_no"), F.lit(0).alias("n_lines"), _terms(F.col(text)).alias("terms"))
+        texts = files.where(whole).select(F.col(file).alias("f"), F.lit(0).alias("line_no"), F.lit(0).alias("n_lines"), _once(_terms(F.col(text))).alias("terms"))
         found = found.union(_compare(texts.where(_reaches(F.col("terms"), bodies, least)), keys, bodies, n_files, df))
     return found.where(F.col("cosine") >= least).withColumnRenamed("f", file)
 
