@@ -1,18 +1,24 @@
 """Language-model scores by deleted interpolation.
 
-Tokens are lower-cased words and an end of text. The model is P(w | h) = l2 f(w | h) + l1 f(w) + l0 / (V + 1): maximum-
-likelihood estimates of bigrams and unigrams, and an even share for any of V + 1 types (one is for what was never seen), with
-weights l that depend on the bucket of the history's frequency (powers of two). The weights come from expectation maximisation on
-held-out counts: every HELD_DOCS-th training document of every HELD_BLOCKS-th block is held out, estimates from the retained rest are set against its tokens.
-The final estimates count all training documents.
-
-Counting is an exchange of packed rows. Documents are read into blocks of bounded size; a block sends, for every bucket of
-64-bit keys, one row with its sorted distinct keys (unigrams and bigrams) and their counts. A bucket sums equal keys of
-all blocks and sends each block a row of totals in the same order. So an n-gram is one number in a row a block, however often it
-occurs, and no key makes a task large. Keys are hashes; two n-grams among n meet by chance with probability n^2 / 2^65.
+Tokens are lower-cased words and an end of text. The model is P(w | u v) = l3 f(w | u v) + l2 f(w | v) + l1 f(w) + l0 / (V + 1):
+maximum-likelihood estimates of trigrams, bigrams and unigrams, and an even share for any of V + 1 types (one is for what was
+never seen). The weights l depend on the frequency bucket of the longest history that was seen: of (u, v), else of v. They come
+from expectation maximisation on held-out counts: one in HELD of the training documents, by a hash of the id, is held out,
+and estimates from the retained rest are set against its tokens. The final estimates count all training documents; a
+bucket that was not learned uses the nearest learned one. Nothing depends on how rows lie in partitions.
+
+Counting is an exchange of packed rows. Documents are read into blocks of bounded size; a block sends, for each of FAN parts
+of the range of keys, one row with its sorted distinct keys and their counts. The parts of up to CHUNK blocks meet in one group.
+If that is all blocks, the group's sums are the totals; else what it merged is a block of the next round, which is
+exchanged by the next bits of the keys in the same way, and the totals come back by the same steps. So rows number FAN a
+block and round, rounds grow with the logarithm of the blocks, a group has about CHUNK parts, and an n-gram is one number in
+a row a block however often it occurs, so that no key makes a task large.
+
+Words are 64-bit hashes. N-grams are hashes of 20 bits more than the binary logarithm of their number (62 at most), so
+that one in about a million meets another by chance; words have exact counts but for chance n^2 / 2^65.
 
 Defined results: null and empty texts have the end token only; repeated rows count each and repeat their result; without
-training documents all counts are 0; an empty table gives an empty result; extra columns are not read.
+training documents all counts are 0 and only the even share is left; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,14 +38,18 @@ from pyspark.sql import functions as F
 from tidemark.llm._shared import crc_mod, raw_texts, weighted_blocks, written
 
 #: Key of the end of text, also the history of a text's first token.
-END = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Held out of the training documents for the weights: one in HELD_DOCS, in one of HELD_BLOCKS blocks of a partition (its
-#: first one too), so that only these blocks are read again for the weights.
-HELD_BLOCKS, HELD_DOCS = 8, 2
-#: Steps of an octave to which estimates are rounded in the held-out statistics.
-STEPS = 4
+END = np.uint64(0x9E3779B97F4A7C15)
+#: One in so many training documents is held out for the weights.
+HELD = 8
+#: Bits of the key that a round deals by (a block sends FAN = 2 ** BITS rows), and blocks whose parts meet in one group.
+BITS, CHUNK = 8, 256
+#: Steps of an octave to which estimates are rounded in the held-out statistics: their number has a bound, whatever the input.
+STEPS = 2
 NONE = -10_000
 ROUNDS = 60
+#: Histories of two words have the buckets from here on, those of one word the buckets below.
+PAIR = 100
+START = np.array([0.3, 0.3, 0.3, 0.1])
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -56,29 +66,60 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BLOCKS = "block bigint, n bigint, n_train bigint, ids array<bigint>, sizes array<int>, train array<boolean>, held array<boolean>, tokens binary, words binary"
+def thin(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys: their number, and the planes of the bytes of their differences."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    first, gaps = gaps[:1], gaps[1:]
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(keys).to_bytes(4, "little") + bytes([width]) + first.tobytes() + _zip(planes)
+
+
+def full(packed: bytes) -> np.ndarray:
+    n, width = int.from_bytes(packed[:4], "little"), packed[4]
+    if not n:
+        return np.zeros(0, np.uint64)
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[0] = np.frombuffer(packed, np.uint8, 8, 5)
+    gaps[1:, :width] = _unzip(packed[13:], np.uint8).reshape(width, n - 1).T
+    return np.cumsum(gaps.reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
+def small(counts: np.ndarray) -> bytes:
+    """Counts, most of which fit in a byte."""
+    low = _zip(np.minimum(counts, 255).astype(np.uint8))
+    return len(low).to_bytes(4, "little") + low + _zip(counts[counts >= 255].astype(np.int64))
+
+
+def large(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    out = _unzip(packed[4 : 4 + n], np.uint8).astype(np.int64)
+    out[out == 255] = _unzip(packed[4 + n :], np.int64)
+    return out
+
+
+BLOCKS = "block bigint, n bigint, n_train bigint, n_held bigint, ids array<bigint>, sizes array<int>, train array<boolean>, held array<boolean>, tokens binary, words binary"
 
 
 def blocks(docs: DataFrame, train: Column, text: str, key: str, block_bytes: int) -> DataFrame:
     """Packed blocks of documents: tokens are numbers of the block's distinct words (keys)."""
-    held = train & (F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(HELD_DOCS)) == 0)
+    train = F.coalesce(train, F.lit(False))
+    held = train & (F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(HELD)) == 0)
     picked = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("__text"), train.alias("train"), held.alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = number = TaskContext.get().partitionId() << 36
+        number = TaskContext.get().partitionId() << 36
         for batch in weighted_blocks(batches, "__text", block_bytes):
             parts = [t.lower().split() for t in raw_texts(batch.column("__text"))]  # of bytes: A-Z only, ASCII white space only
             sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
             flat = np.empty(int(sizes.sum()), object)
             flat[:] = [w for p in parts for w in (*p, b" ")]  # a word is never a blank
+            del parts
             codes, distinct = pd.factorize(flat)
-            keys = np.fromiter((END if w == b" " else xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct)) | np.uint64(1)
-            flags = np.array(batch.column("train").to_pylist(), bool)
-            held_out = np.array(batch.column("held").to_pylist(), bool) & ((number - first) % HELD_BLOCKS == 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((number, pa.int64()), (len(flat), pa.int64()), (int(sizes[flags].sum()), pa.int64()), (batch.column("id").to_pylist(), pa.list_(pa.int64())), (sizes.tolist(), pa.list_(pa.int32())), (flags.tolist(), pa.list_(pa.bool_())), (held_out.tolist(), pa.list_(pa.bool_())), (_zip(codes.astype(np.uint32)), pa.binary()), (keys.tobytes(), pa.binary()))],
-                names=["block", "n", "n_train", "ids", "sizes", "train", "held", "tokens", "words"],
-            )
+            keys = np.fromiter((END if w == b" " else xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
+            flags, held_out = (np.array(batch.column(c).to_pylist(), bool) for c in ("train", "held"))
+            cells = ((number, pa.int64()), (len(flat), pa.int64()), (int(sizes[flags].sum()), pa.int64()), (int(sizes[held_out].sum()), pa.int64()), (batch.column("id").to_pylist(), pa.list_(pa.int64())), (sizes.tolist(), pa.list_(pa.int32())), (flags.tolist(), pa.list_(pa.bool_())), (held_out.tolist(), pa.list_(pa.bool_())), (_zip(codes.astype(np.uint32)), pa.binary()), (keys.tobytes(), pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in cells], names=[x.split()[0] for x in BLOCKS.split(", ")])
             number += 1
 
     return picked.mapInArrow(run, BLOCKS)
@@ -92,138 +133,213 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 class Block:
-    def __init__(self, row: dict):
+    """The n-grams of a block's documents (or of those held out): distinct sorted keys, and each token's places among them."""
+
+    def __init__(self, row: dict, width: int, held_only: bool = False):
         self.ids, self.sizes = row["ids"], np.array(row["sizes"], np.int64)
         self.train, self.held = np.array(row["train"], bool), np.array(row["held"], bool)
         words, tokens = np.frombuffer(row["words"], np.uint64), _unzip(row["tokens"], np.uint32)
-        uni = words[tokens]
-        before = np.empty_like(uni)
-        before[1:] = uni[:-1]
-        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+        if held_only:
+            tokens = tokens[np.repeat(self.held, self.sizes)]
+            self.sizes = self.sizes[self.held]
+            used, tokens = np.unique(tokens, return_inverse=True)
+            words = words[used]
+        order = np.argsort(words)
+        self.words = words[order]
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        self.uni, own = place[tokens], words[tokens]
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
         before[self.begins] = END
-        bi = _mix(before * np.uint64(0xD6E8FEB86659FD93) + uni) & ~np.uint64(1)
-        self.keys, place = np.unique(np.concatenate([words, bi]), return_inverse=True)
-        of_word = place[: len(words)]
-        self.uni, self.bi = of_word[tokens], place[len(words) :]
-        self.before = np.empty_like(self.uni)
-        self.before[1:] = self.uni[:-1]
-        self.before[self.begins] = np.searchsorted(self.keys, END)
-
-    def counts(self, which: np.ndarray) -> np.ndarray:
-        """Of each key in the documents that which tells."""
+        pairs = _mix(before * np.uint64(0xD6E8FEB86659FD93) + own)
+        self.inner = np.ones(len(own), bool)
+        self.inner[self.begins] = False
+        second = np.empty_like(own)
+        second[1:] = before[:-1]
+        triples = _mix(second[self.inner] * np.uint64(0xA0761D6478BD642F) ^ pairs[self.inner])
+        self.grams, at = np.unique(np.concatenate([pairs, triples]) >> np.uint64(64 - width), return_inverse=True)
+        self.pair, self.triple = at[: len(own)], at[len(own) :]
+
+    def counts(self, which: np.ndarray) -> Counts:
+        """Of each word and n-gram, in the documents that which tells."""
         on = np.repeat(which, self.sizes)
-        return (np.bincount(self.uni[on], minlength=len(self.keys)) + np.bincount(self.bi[on], minlength=len(self.keys))).astype(np.uint32)
-
-
-def _thin(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences of as few bytes as all of them fit in."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    first, gaps = gaps[:1], gaps[1:]
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([width]) + first.tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _full(thin: bytes) -> np.ndarray:
-    width, n = thin[0], (len(thin) - 9) // thin[0]
-    gaps = np.zeros((n + 1, 8), np.uint8)
-    gaps[0] = np.frombuffer(thin, np.uint8, 8, 1)
-    gaps[1:, :width] = np.frombuffer(thin, np.uint8, n * width, 9).reshape(-1, width)
-    return np.cumsum(gaps.reshape(-1).view(np.uint64), dtype=np.uint64)
+        grams = np.bincount(self.pair[on], minlength=len(self.grams)) + np.bincount(self.triple[on[self.inner]], minlength=len(self.grams))
+        return np.bincount(self.uni[on], minlength=len(self.words)), grams
+
+    def estimates(self, totals: Counts, tokens: int) -> tuple[np.ndarray, ...]:
+        """Of each token: its bucket, trigram, bigram and unigram estimate, and its count."""
+        of_word, of_gram = totals
+        word, pair = of_word[self.uni], of_gram[self.pair]
+        triple, seen_pair, seen = np.zeros(len(word)), np.zeros(len(word)), np.empty(len(word))
+        triple[self.inner] = of_gram[self.triple]
+        seen[1:], seen_pair[1:] = word[:-1], pair[:-1]
+        seen_pair[self.begins] = 0
+        seen[self.begins] = of_word[np.searchsorted(self.words, END)]
+        log = lambda c: 1 + np.floor(np.log2(np.maximum(c, 1)))
+        bucket = np.where(seen_pair > 0, PAIR + log(seen_pair), np.where(seen > 0, log(seen), 0)).astype(np.int64)
+        ratio = lambda a, b: np.divide(a, b, out=np.zeros(len(a)), where=np.broadcast_to(b, a.shape) > 0)
+        return bucket, ratio(triple, seen_pair), ratio(pair, seen), ratio(word, tokens), word
+
+
+# --- the exchange: parts of blocks' keys go out, replies with their totals come back -------------------------------
+
+PARTS = "block bigint, bucket bigint, words binary, grams binary, train_words binary, train_grams binary, held_words binary, held_grams binary"
+#: t: totals of the training documents, of each key of the part; k: of the retained ones, of each key that the part holds out.
+REPLIES = "block bigint, bucket bigint, n_types bigint, t_words binary, t_grams binary, k_words binary, k_grams binary"
+Counts = tuple[np.ndarray, np.ndarray]  # of words and of n-grams
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "binary" else pa.int64()) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _split(block: int, path: int, depth: int, keys: Counts, train: Counts, held: Counts, width: int, dealt: int) -> list[tuple]:
+    """A row for each part of the keys, by their first dealt * depth bits, of which all before the last `dealt` are `path`."""
+    starts = range(path << dealt, path + 1 << dealt)
+    edges = [[*np.searchsorted(k, np.array([p << (bits - dealt * depth) for p in starts], np.uint64)).tolist(), len(k)] for k, bits in zip(keys, (64, width), strict=True)]
+    out = []
+    for n, bucket in enumerate(starts):
+        (a, b), (c, d) = edges[0][n : n + 2], edges[1][n : n + 2]
+        if a < b or c < d:
+            out.append((block, bucket, thin(keys[0][a:b]), thin(keys[1][c:d]), small(train[0][a:b]), small(train[1][c:d]), small(held[0][a:b]), small(held[1][c:d])))
+    return out
 
 
-def _requests(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
-        b = Block(row)
-        n_train, n_kept = b.counts(b.train), b.counts(b.train & ~b.held)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(b.keys >> np.uint64(64 - bits))) + 1, [len(b.keys)]])
-        out = [(int(b.keys[i] >> np.uint64(64 - bits)), _thin(b.keys[i:j]), _zip(n_train[i:j]), _zip(n_kept[i:j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        cols = list(zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([row["block"]] * len(out), pa.int64()), pa.array([bool(b.held.any())] * len(out)), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "block", "held", "keys", "n_train", "n_kept"])
+class Merged:
+    """Parts that met in one group: their distinct keys, summed counts, and the places of each part's keys among them."""
+
+    def __init__(self, group: pa.Table):
+        self.group = group
+        self.keys, self.places, self.held_of, train, held = [], [], [], [], []
+        for kind in ("words", "grams"):
+            keys = [full(x) for x in group.column(kind).to_pylist()]
+            distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+            own = [large(x) for x in group.column(f"held_{kind}").to_pylist()]
+            self.keys.append(distinct)
+            self.places.append(np.split(place, np.cumsum(list(map(len, keys)))[:-1]))
+            self.held_of.append(own)
+            train.append(np.bincount(place, np.concatenate([large(x) for x in group.column(f"train_{kind}").to_pylist()]), len(distinct)).astype(np.int64))
+            held.append(np.bincount(place, np.concatenate(own), len(distinct)).astype(np.int64))
+        self.train, self.held = tuple(train), tuple(held)
+
+    def replies(self, train: Counts, kept: Counts, n_types: int) -> pa.Table:
+        out: dict[str, object] = {"block": self.group.column("block"), "bucket": self.group.column("bucket"), "n_types": pa.array([n_types] + [0] * (self.group.num_rows - 1), pa.int64())}
+        for name, of in (("t", train), ("k", kept)):
+            for k, kind in enumerate(("words", "grams")):
+                places = self.places[k] if name == "t" else [p[h > 0] for p, h in zip(self.places[k], self.held_of[k], strict=True)]
+                out[f"{name}_{kind}"] = pa.array([small(of[k][p]) for p in places], pa.binary())
+        return pa.table(out)
 
 
 def _sums(group: pa.Table) -> pa.Table:
-    """Totals of one bucket's keys, in each block's order (of retained documents, k: for blocks with held-out ones only); n_types: distinct unigrams of the training documents, once a bucket."""
-    keys = [_full(x) for x in group.column("keys").to_pylist()]
-    _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    distinct = int(place.max()) + 1
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    totals = [np.bincount(place, np.concatenate([_unzip(x, np.uint32) for x in group.column(c).to_pylist()]), distinct).astype(np.uint64) for c in ("n_train", "n_kept")]
-    odd = np.zeros(distinct, bool)
-    odd[place] = (np.concatenate(keys) & np.uint64(1)).astype(bool)
-    types = [int((odd & (totals[0] > 0)).sum())] + [0] * (len(keys) - 1)
-    places = np.split(place, cuts)
-    return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "n_types": pa.array(types, pa.int64()), "t": pa.array([_zip(totals[0][p]) for p in places], pa.binary()), "k": pa.array([_zip(totals[1][p]) if h else None for p, h in zip(places, group.column("held").to_pylist(), strict=True)], pa.binary())})
+    """The last round: the group has all parts of its keys."""
+    m = Merged(group)
+    return m.replies(m.train, tuple(t - h for t, h in zip(m.train, m.held, strict=True)), int((m.train[0] > 0).sum()))
 
 
-def _totals(row: dict, name: str) -> np.ndarray:
-    return np.concatenate([_unzip(x[name], np.uint64) for x in sorted(row["replies"], key=lambda x: x["bucket"])]).astype(float)
+def _next_round(group: pa.Table, depth: int, width: int, dealt: int) -> pa.Table:
+    """What a group merged, as the parts of a block of the next round; the group's chunk and bucket are its name."""
+    m = Merged(group)
+    rows = _split(group.column("chunk")[0].as_py(), group.column("bucket")[0].as_py(), depth + 1, tuple(m.keys), m.train, m.held, width, dealt)
+    return pa.Table.from_batches([_batch(rows, PARTS)])
 
 
-def _bucket(counts: np.ndarray) -> np.ndarray:
-    """0 for histories never seen, else 1 + the whole binary logarithm."""
-    return np.where(counts > 0, 1 + np.floor(np.log2(np.maximum(counts, 1))), 0).astype(np.int64)
+def _back(group: pa.Table, answers: pa.Table) -> pa.Table:
+    """Replies to the parts of a group, from those to what it merged."""
+    m, rows = Merged(group), sorted(answers.to_pylist(), key=lambda x: x["bucket"])
+    joined = {c: np.concatenate([large(x[c]) for x in rows]) for c in ("t_words", "t_grams", "k_words", "k_grams")}
+    kept = []
+    for k, kind in enumerate(("words", "grams")):
+        kept.append(np.zeros(len(m.keys[k]), np.int64))
+        kept[k][m.held[k] > 0] = joined[f"k_{kind}"]
+    return m.replies((joined["t_words"], joined["t_grams"]), tuple(kept), sum(x["n_types"] for x in rows))
 
 
-def _ratio(a: np.ndarray, b) -> np.ndarray:
-    return np.divide(a, b, out=np.zeros(len(a)), where=np.broadcast_to(b, a.shape) > 0)
+def exchanged(parts: DataFrame, n_blocks: int, width: int, dealt: int = BITS, chunk: int = CHUNK, depth: int = 1) -> DataFrame:
+    """A reply to each of the parts."""
+    chunks = math.ceil(n_blocks / chunk)
+    if chunks <= 1:
+        return written(parts.groupBy("bucket").applyInArrow(_sums, REPLIES), "replies")
+    parts = written(parts.withColumn("chunk", F.pmod(F.xxhash64("block"), F.lit(chunks))), "parts")
+    merged = parts.groupBy("bucket", "chunk").applyInArrow(lambda group: _next_round(group, depth, width, dealt), PARTS)
+    answers = exchanged(merged, chunks, width, dealt, chunk, depth + 1).withColumn("up", F.shiftright("bucket", dealt))
+    return written(parts.groupBy("bucket", "chunk").cogroup(answers.groupBy("up", "block")).applyInArrow(_back, REPLIES), "replies")
 
 
-def _held_out(batches: Iterator[pa.RecordBatch], kept_tokens: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, rounded bigram and unigram estimates, tokens) of held-out tokens under retained counts."""
-    for row in _rows(batches):
-        b, k = Block(row), _totals(row, "k")
-        on = np.repeat(b.held, b.sizes)
-        history, word, pair = k[b.before[on]], k[b.uni[on]], k[b.bi[on]]
-        code = lambda f: np.where(f > 0, np.round(STEPS * np.log2(np.maximum(f, 1e-300))), NONE).astype(np.int64)
-        cells, n = np.unique(np.stack([_bucket(history), code(_ratio(pair, history)), code(_ratio(word, kept_tokens))], 1), axis=0, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(cells[:, 0], pa.int64()), pa.array(cells[:, 1], pa.int64()), pa.array(cells[:, 2], pa.int64()), pa.array(n, pa.int64())], names=["bucket", "f2", "f1", "n"])
+def _totals(row: dict, name: str) -> Counts:
+    replies = sorted(row["replies"], key=lambda x: x["bucket"])
+    return tuple(np.concatenate([large(x[f"{name}_{kind}"]) for x in replies]).astype(float) for kind in ("words", "grams"))
 
 
-def fit_weights(cells: list[tuple[int, int, int, int]], even: float) -> dict[int, tuple[float, float, float]]:
-    """Weights (bigram, unigram, even) of each bucket, by expectation maximisation on held-out tokens."""
+def fit_weights(cells: list[tuple[int, int, int, int, int]], even: float) -> dict[int, np.ndarray]:
+    """Weights (trigram, bigram, unigram, even) of each bucket, by expectation maximisation on (bucket, rounded estimates, tokens)."""
     out = {}
     value = lambda q: np.where(q == NONE, 0.0, np.exp2(q / STEPS))
     for bucket in sorted({c[0] for c in cells}):
-        own = np.array([c[1:] for c in cells if c[0] == bucket], float)
-        f = np.stack([value(own[:, 0]), value(own[:, 1]), np.full(len(own), even)], 1)
-        w = np.array([0.3, 0.4, 0.3]) if bucket else np.array([0.0, 0.7, 0.3])
+        own = np.array(sorted(c[1:] for c in cells if c[0] == bucket), float)
+        f = np.column_stack([value(own[:, 0]), value(own[:, 1]), value(own[:, 2]), np.full(len(own), even)])
+        w = START
         for _ in range(ROUNDS):
             share = f * w
-            share *= (own[:, 2] / share.sum(1))[:, None]
+            share *= (own[:, 3] / share.sum(1))[:, None]
             w = share.sum(0) / share.sum()
-        w = np.maximum(w, [0, 0, 1e-7])
-        out[bucket] = tuple((w / w.sum()).tolist())
+        w = np.maximum(w, [0, 0, 0, 1e-7])
+        out[bucket] = w / w.sum()
     return out
 
 
-def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", block_bytes: int = 6_000_000) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; counts come from the rows that train tells."""
+def weight_table(weights: dict[int, np.ndarray]) -> np.ndarray:
+    """A row for every bucket: its own weights, or those of the nearest learned bucket of its kind."""
+    out = np.zeros((PAIR + 66, 4))
+    for first, last, start in ((0, 0, [0, 0, 0.9, 0.1]), (1, PAIR - 1, [0, 0.5, 0.4, 0.1]), (PAIR, PAIR + 65, START)):
+        learned = [b for b in weights if first <= b <= last]
+        for b in range(first, last + 1):
+            out[b] = weights[min(learned, key=lambda x: (abs(x - b), x))] if learned else start
+    return out
+
+
+def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", block_bytes: int = 5_000_000, dealt: int = BITS, chunk: int = CHUNK) -> DataFrame:
+    """id, train, n_tokens, n_known, train_tokens, base_score, score of every row; counts come from the rows that train tells."""
     packed = written(blocks(docs, train, text, key, block_bytes), "blocks")
-    tokens, train_tokens = packed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
-    kept_sizes = F.aggregate(F.zip_with(F.zip_with("train", "held", lambda t, h: t & ~h), "sizes", lambda on, n: F.when(on, n).otherwise(0)), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    kept_tokens = packed.agg(F.coalesce(F.sum(kept_sizes), F.lit(0))).first()[0]
-    bits = min(20, max(4, math.ceil(math.log2(max(1, tokens / 1_000_000)))))
-    asked = packed.mapInArrow(lambda it: _requests(it, bits), "bucket int, block bigint, held boolean, keys binary, n_train binary, n_kept binary")
-    replies = written(asked.groupBy("bucket").applyInArrow(_sums, "block bigint, bucket int, n_types bigint, t binary, k binary"), "replies")
+    n_blocks, tokens, train_tokens, held_tokens = packed.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_train", "n_held")]).first()
+    width = min(62, math.ceil(math.log2(max(2, 2 * tokens))) + 20)
+    kept_tokens = train_tokens - held_tokens
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            b = Block(row, width)
+            yield _batch(_split(row["block"], 0, 1, (b.words, b.grams), b.counts(b.train), b.counts(b.held), width, dealt), PARTS)
+
+    replies = exchanged(packed.mapInArrow(ask, PARTS), n_blocks, width, dealt, chunk)
     types = replies.agg(F.coalesce(F.sum("n_types"), F.lit(0))).first()[0]
     even = 1 / (types + 1)
 
     def answered(some: DataFrame, name: str) -> DataFrame:
-        own = replies.where(F.col(name).isNotNull()).groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("bucket", name)).alias("replies"))
+        own = replies.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("bucket", f"{name}_words", f"{name}_grams")).alias("replies"))
         return some.join(own, F.col("block") == F.col("b")).drop("b")
 
-    # of the held-out tokens only
-    cells = answered(packed.where(F.exists("held", lambda x: x)), "k").mapInArrow(lambda it: _held_out(it, kept_tokens), "bucket bigint, f2 bigint, f1 bigint, n bigint")
-    weights = fit_weights([tuple(r) for r in cells.groupBy("bucket", "f2", "f1").agg(F.sum("n")).collect()], even)
-    table = np.array([weights.get(k, (0.3, 0.4, 0.3) if k else (0.0, 0.7, 0.3)) for k in range(66)])
+    def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = lambda f: np.where(f > 0, np.round(STEPS * np.log2(np.maximum(f, 1e-300))), NONE).astype(np.int64)
+        for row in _rows(batches):
+            bucket, f3, f2, f1, _ = Block(row, width, held_only=True).estimates(_totals(row, "k"), kept_tokens)
+            cells, n = np.unique(np.stack([bucket, code(f3), code(f2), code(f1)], 1), axis=0, return_counts=True)
+            yield _batch([(*c, k) for c, k in zip(cells.tolist(), n.tolist(), strict=True)], CELLS)
+
+    cells = answered(packed.where(F.col("n_held") > 0), "k").mapInArrow(held_out, CELLS)
+    weights = fit_weights([tuple(r) for r in cells.groupBy("bucket", "f3", "f2", "f1").agg(F.sum("n")).collect()], even)
+    table = weight_table(weights) if train_tokens else np.tile([0.0, 0.0, 0.0, 1.0], (PAIR + 66, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            b, t = Block(row), _totals(row, "t")
-            history, word, pair = t[b.before], t[b.uni], t[b.bi]
-            w = table[_bucket(history)]
-            p = w[:, 0] * _ratio(pair, history) + w[:, 1] * _ratio(word, train_tokens) + w[:, 2] * even
-            total = lambda x: np.add.reduceat(x, b.begins)
+            b = Block(row, width)
+            bucket, f3, f2, f1, word = b.estimates(_totals(row, "t"), train_tokens)
+            w = table[bucket]
+            p = w[:, 0] * f3 + w[:, 1] * f2 + w[:, 2] * f1 + w[:, 3] * even
+            total = lambda x: np.add.reduceat(x, b.begins)  # noqa: E731, B023
             base = np.log10(word + 1) - math.log10(train_tokens + types + 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(b.ids, pa.int64()), pa.array(b.train), pa.array(b.sizes, pa.int64()), pa.array(total((word > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(b.sizes), train_tokens), pa.int64()), pa.array(total(base), pa.float64()), pa.array(total(np.log10(p)), pa.float64())],
@@ -233,6 +349,9 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     return answered(packed, "t").mapInArrow(run, "id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
+CELLS = "bucket bigint, f3 bigint, f2 bigint, f1 bigint, n bigint"
+
+
 def op9(docs: DataFrame) -> DataFrame:
     found = score(docs, crc_mod("doc_id", 7) != 2)
     return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
