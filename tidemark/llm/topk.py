@@ -1,14 +1,20 @@
 """Exact top-k search by inner product: columnar branch and bound.
 
-Vectors become integers. Candidates are packed in blocks, one column a dimension; queries are packed in blocks too, and every query block
-meets every candidate block once, as one row of two packed blocks. For a query, the dimensions are taken in the order of
-its own mass, a block of dimensions at a time: partial scores are accumulated down the columns, and a candidate stays only while its
-partial score plus the product of the remaining masses (Cauchy-Schwarz, rounded up) reaches the k-th best score known. Surviving candidates are compacted
-after every dimension block. What a block leaves, k rows a query, is merged by rank.
-
-Defined results: vectors that are null, empty or hold a null or non-finite component take no part, neither do null ids;
-rows that share an id with the query are not its candidates; a shorter vector counts as having zeros behind; ties go to the
-smaller id; an empty table gives an empty result; extra columns are not read.
+Vectors become integers. Candidates are packed in blocks, one column a dimension, the dimensions in the order of their mass in
+the block; beside them lie the masses that remain behind every STEP dimensions. Queries are packed in blocks too. Candidate and query blocks are dealt
+over slots of a bounded number of blocks, and every pair of slots is one group. For a query, partial scores are accumulated down
+the columns, STEP dimensions at a time, and a candidate stays only while its partial score plus the product of the remaining
+masses (Cauchy-Schwarz) reaches the k-th best score known; survivors are compacted after every step. A query's best k and its
+threshold go on from block to block of a group, and groups are merged by rank.
+
+Masses that remain are sums of their own terms, from the last dimension on, not differences, and the bound is widened by SLACK, more than doubles
+can err over any number of dimensions that fits in memory; so no candidate is lost, however large the components. Products run in doubles
+where all sums stay below 2 ** 53, so that doubles are exact, and in 64-bit integers elsewhere.
+
+Defined results: vectors that are null or hold a null or non-finite component take no part, neither do null ids; an empty
+vector scores 0 with all; a shorter vector counts as having zeros behind; rows that share an id with the query are not its
+candidates; repeated rows are candidates each; ties go to the smaller id; an empty table gives an empty result; extra columns are not read. Scores must
+fit in 64 bits.
 """
 
 from __future__ import annotations
@@ -26,8 +32,12 @@ from tidemark.llm._shared import written
 
 #: Vectors of a block, queries of a block, and dimensions of a step.
 CANDIDATES, QUERIES, STEP = 8192, 512, 8
-#: Candidate blocks of a slot.
-SLOT_BLOCKS = 8
+#: Blocks of a slot of candidates and of a slot of queries.
+SLOT_BLOCKS, QUERY_SLOT_BLOCKS = 8, 16
+SLACK = 1e-6
+
+BLOCK = "n int, dims int, ids binary, m binary"
+FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
 def _packed(vectors: DataFrame, size: int) -> DataFrame:
@@ -54,68 +64,104 @@ def _packed(vectors: DataFrame, size: int) -> DataFrame:
         if ids:
             yield block()
 
-    return vectors.mapInArrow(run, "n int, dims int, ids binary, m binary")
+    return vectors.mapInArrow(run, BLOCK)
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """ids and columns."""
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["m"], np.int64).reshape(row["dims"], row["n"])
+
+
+def remaining(columns: np.ndarray) -> np.ndarray:
+    """(steps, n): the root of the mass of all dimensions behind each step."""
+    squares = columns.astype(float) ** 2
+    ends = range(STEP, len(columns) + STEP, STEP)
+    out = np.zeros((len(ends), columns.shape[1]))
+    for k in range(len(out) - 2, -1, -1):
+        out[k] = out[k + 1] + squares[ends[k] : ends[k + 1]].sum(0)
+    return np.sqrt(out)
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, -scores))[:k]
+    return scores[order], ids[order]
 
 
-def search_block(q: np.ndarray, q_id: int, columns: np.ndarray, ids: np.ndarray, k: int, rest_mass: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (scores, ids) among a block's candidates, by score and then id. columns: (dims, n)."""
-    dims = len(columns)
-    order = np.argsort(-np.abs(q), kind="stable")
+def search_block(q: np.ndarray, q_rest: np.ndarray, q_id: int, columns: np.ndarray, rest: np.ndarray, ids: np.ndarray, k: int, floor: float = -math.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of a block (scores, ids) among which are all of its k best that score `floor` or more. columns: (dims, n), rest: remaining(columns)."""
     kept = np.flatnonzero(ids != q_id)
-    if len(kept) <= k:
-        scores = q @ columns[:, kept]
-    else:
-        # some candidates in full give the first threshold
-        seeds = kept[:: max(1, len(kept) // (8 * k))]
-        floor = np.partition(q @ columns[:, seeds], -k)[-k] if len(seeds) >= k else None
-        part = np.zeros(len(kept), np.int64)
-        mass = (columns.astype(float) ** 2).sum(0)[kept] if rest_mass is None else rest_mass[kept].copy()
-        q_mass = float((q.astype(float) ** 2).sum())
-        for at in range(0, dims, STEP):
-            use = order[at : at + STEP]
-            values = columns[np.ix_(use, kept)]
-            part += q[use] @ values
-            mass -= (values.astype(float) ** 2).sum(0)
-            q_mass -= float((q[use].astype(float) ** 2).sum())
-            if at + STEP >= dims:
-                break
-            reach = np.sqrt(np.maximum(mass, 0) * max(q_mass, 0)) + 1
-            if len(kept) > k:
-                least = np.partition(part - np.ceil(reach), -k)[-k]
-                floor = least if floor is None else max(floor, least)
-            stay = part + reach >= (floor if floor is not None else -np.inf)
-            kept, part, mass = kept[stay], part[stay], mass[stay]
-        scores = part
-    best = np.lexsort((ids[kept], -scores))[:k]
-    return scores[best], ids[kept][best]
-
-
-def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            qs, cs = (np.frombuffer(row[f"{x}_m"], np.int64).reshape(row[f"{x}_dims"], row[f"{x}_n"]) for x in "qc")
-            q_ids, ids = (np.frombuffer(row[f"{x}_ids"], np.int64) for x in "qc")
-            dims = min(len(qs), len(cs))
-            qs, cs = qs[:dims], cs[:dims]
-            mass = (cs.astype(float) ** 2).sum(0)
-            found = [search_block(np.ascontiguousarray(qs[:, j]), int(q_ids[j]), cs, ids, k, mass) for j in range(len(q_ids))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(s) for s, _ in found]), pa.int64()), pa.array(np.concatenate([i for _, i in found]), pa.int64()), pa.array(np.concatenate([s for s, _ in found]), pa.int64())], names=["query_id", "vec_id", "score"])
+    part = np.zeros(len(kept), columns.dtype)
+    for step in range(len(rest)):
+        use = slice(step * STEP, (step + 1) * STEP)
+        values = columns[use] if len(kept) == columns.shape[1] else columns[use][:, kept]
+        part += q[use] @ values
+        if step == len(rest) - 1:
+            break
+        reach = rest[step][kept] * (q_rest[step] * (1 + SLACK)) + 1
+        at_least = part - reach
+        if len(kept) > k:
+            floor = max(floor, np.partition(at_least, -k)[-k])
+        stay = part + reach >= floor - abs(floor) * 1e-15 if math.isfinite(floor) else slice(None)
+        kept, part = kept[stay], part[stay]
+        if not len(kept):
+            break
+    return part, ids[kept]
+
+
+def search_group(queries: list[dict], candidates: list[dict], k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, ids, scores) of each query's k best among the candidates."""
+    prepared = []
+    for row in candidates:
+        ids, columns = _unpacked(row)
+        order = np.argsort(-(columns.astype(float) ** 2).sum(1), kind="stable")
+        columns = columns[order]
+        prepared.append((ids, order, columns, remaining(columns), float(np.abs(columns).max(initial=0))))
+    out = []
+    for row in queries:
+        q_ids, qs = _unpacked(row)
+        top = float(np.abs(qs).max(initial=0))
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q_ids)
+        for ids, order, columns, rest, most in prepared:
+            own = np.zeros((len(order), len(q_ids)), np.int64)
+            has = order < len(qs)
+            own[has] = qs[order[has]]  # dimensions that only one side has count as zeros
+            q_rest = remaining(own)
+            if top * most * max(1, len(order)) < 2**52:
+                own, columns = own.astype(float), columns.astype(float)
+            for j, q_id in enumerate(q_ids):
+                scores, found = best[j]
+                floor = float(scores[-1]) if len(scores) >= k else -math.inf
+                s, i = search_block(np.ascontiguousarray(own[:, j]), q_rest[:, j], int(q_id), columns, rest, ids, k, floor)
+                if len(i):
+                    best[j] = best_of(np.concatenate([scores, s.astype(np.int64)]), np.concatenate([found, i]), k)
+        out += [(int(q), i, s) for q, (s, i) in zip(q_ids, best, strict=True)]
+    return out
+
+
+def _searched(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    found = search_group(queries.to_pylist(), candidates.to_pylist(), k)
+    columns = [np.repeat([q for q, *_ in found], [len(i) for _, i, _ in found]), *(np.concatenate([x[at] for x in found]) if found else [] for at in (1, 2))]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", least_slots: int = 16) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query row against all rows.
 
-    Candidate blocks are dealt over slots, SLOT_BLOCKS to a slot on average but at least least_slots slots, so that tasks keep their size.
+    Blocks are dealt over slots, SLOT_BLOCKS candidate blocks (at least least_slots slots) and QUERY_SLOT_BLOCKS query blocks to a slot on average, so that
+    groups keep their size and are many. A candidate block is sent once a query slot, a query block once a candidate slot.
     """
     as_ints = F.transform(F.col(vector), lambda x: F.floor(F.lit(scale) * x.cast("double")))
-    sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
+    sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
     good = vectors.where(F.coalesce(sound, F.lit(False)))
     shape = good.select(F.col(key).cast("bigint").alias("id"), as_ints.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    names = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("n", "dims", "ids", "m")]
-    slots = max(least_slots, math.ceil(good.count() / (CANDIDATES * SLOT_BLOCKS)))
-    candidates = _packed(shape.select("id", "v"), CANDIDATES).select(*names("c"), F.pmod(F.xxhash64("ids"), F.lit(slots)).alias("slot"))
-    queries = _packed(shape.where("q").dropDuplicates(["id", "v"]).select("id", "v"), QUERIES).select(*names("q"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))).alias("slot"))
-    parts = written(candidates.join(queries, "slot").drop("slot").mapInArrow(lambda it: _searched(it, k), "query_id bigint, vec_id bigint, score bigint"), "top")
+    n, n_queries = shape.agg(F.count(F.lit(1)), F.count_if("q")).first()
+    slots, query_slots = max(least_slots, math.ceil(n / (CANDIDATES * SLOT_BLOCKS))), max(1, math.ceil(n_queries / (QUERIES * QUERY_SLOT_BLOCKS)))
+    slot = lambda m: F.pmod(F.xxhash64("ids"), F.lit(m))
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
+    candidates = _packed(shape.select("id", "v"), CANDIDATES).select("*", slot(slots).alias("cs"), every(query_slots).alias("qs"))
+    queries = _packed(shape.where("q").dropDuplicates(["id", "v"]).select("id", "v"), QUERIES).select("*", slot(query_slots).alias("qs"), every(slots).alias("cs"))
+    pairs = candidates.groupBy("cs", "qs").cogroup(queries.groupBy("cs", "qs"))
+    parts = written(pairs.applyInArrow(lambda c, q: _searched(c, q, k), FOUND), "top")
     w = W.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return parts.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
