@@ -1,14 +1,15 @@
 """Vector bin packing of tokenised documents into training sequences.
 
-A sequence has three capacities: tokens, segments (pieces) and loss-bearing tokens. Within a block of documents, whole
-sequences are cut off long documents first; what remains is placed by the dot-product heuristic: of the open pieces that
-fit the current sequence, the one whose demand vector has the largest inner product with the free-capacity vector goes in.
-If none fits while tokens are free, the largest piece is cut to fill the gap, so that only a block's last sequence (or
-one that has reached its segment or loss limit) has padding. Blocks are independent: memory is bounded by a block, and a task that is run
-again after a lost executor gives the same sequences, as their ids derive from the partition and a counter in it.
-
-Defined results: null and empty texts have the end id only; repeated rows are packed each; an empty table gives no
-sequence; extra columns are not read.
+A sequence has three capacities: tokens, segments (pieces) and loss-bearing tokens. A document is a prompt, which bears no
+loss, and the rest, which does; where its texts tell no better, the first PROMPT of its tokens are the prompt. Within a block of documents
+pieces are placed by the dot-product heuristic: of the open pieces that fit the current sequence, the one whose demand vector has the
+largest inner product with the free-capacity vector goes in. The demand of a document longer than a sequence is that of the longest beginning that an empty
+sequence takes. If none fits while tokens are free, the piece of which most fits is cut to fill the gap, so that a sequence that is
+full of loss is filled up with prompts; padding is left where there are none, where the segments are used up, and in a block's last sequences. Blocks are independent: memory
+is bounded by a block, and a task that is run again after a lost executor gives the same sequences, as their ids derive from the partition and a counter in it.
+
+Defined results: null and empty texts have the end id only; repeated rows are packed each; ties go to the document that stands first in the
+weighed window; an empty table gives no sequence; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -82,8 +83,12 @@ def byte_bpe(name: str) -> ByteBpe:
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 1024
-    segments: int = 256
-    loss: int = 1024
+    segments: int = 64
+    loss: int = 896
+
+
+#: Share of a document's tokens that are its prompt, where no rule is given.
+PROMPT = 0.25
 
 
 def pack(lengths: np.ndarray, loss: np.ndarray, limits: Limits, window: int = 512) -> list[list[tuple[int, int, int]]]:
@@ -91,90 +96,72 @@ def pack(lengths: np.ndarray, loss: np.ndarray, limits: Limits, window: int = 51
 
     At most `window` of the longest open pieces and as many of the shortest are weighed at a time; all pieces are placed.
     """
-    out: list[list[tuple[int, int, int]]] = []
-    begin = np.zeros(len(lengths), np.int64)
-    first_loss = lengths - loss  # token from which on the item bears loss
-    bears = lambda i, s, n: max(0, s + n - max(s, first_loss[i]))
-
-    def largest(i: int, free: int, free_loss: int) -> int:
-        """Tokens of item i from its start that fit."""
-        n = min(free, int(lengths[i] - begin[i]))
-        return min(n, max(0, int(first_loss[i] - begin[i])) + free_loss)
-
-    full = min(limits.tokens, limits.loss) if limits.segments else 0
-    if full <= 0:
+    if min(limits.tokens, limits.segments, limits.loss) <= 0:
         raise ValueError("every limit must be positive")
-    for i in range(len(lengths)):
-        while lengths[i] - begin[i] >= limits.tokens:
-            n = largest(i, limits.tokens, limits.loss)
-            out.append([(i, int(begin[i]), n)])
-            begin[i] += n
-    order = sorted((i for i in range(len(lengths)) if lengths[i] > begin[i]), key=lambda i: (-(lengths[i] - begin[i]), i))
+    out: list[list[tuple[int, int, int]]] = []
+    caps = np.array([limits.tokens, limits.segments, limits.loss], float)
+    order = np.lexsort((np.arange(len(lengths)), -lengths))
+    order = order[lengths[order] > 0]
     low, high = 0, len(order)  # open pieces outside the weighed ones are order[low:high]
-    pool: list[int] = []
+    # of the weighed pieces: item, start, tokens left before the loss begins, tokens left that bear loss
+    item, start, free_part, loss_part = (np.zeros(0, np.int64) for _ in range(4))
 
     def refill() -> None:
-        nonlocal low, high
-        while low < high and len(pool) < 2 * window:
-            pool.append(order[low])
-            low += 1
-            if low < high and len(pool) < 2 * window:
-                high -= 1
-                pool.append(order[high])
+        nonlocal low, high, item, start, free_part, loss_part
+        room = 2 * window - len(item)
+        first = min((room + 1) // 2, high - low)
+        last = min(room - first, high - low - first)
+        new = np.concatenate([order[low : low + first], order[high - last : high]])
+        low, high = low + first, high - last
+        item, start = np.concatenate([item, new]), np.concatenate([start, np.zeros(len(new), np.int64)])
+        free_part, loss_part = np.concatenate([free_part, (lengths - loss)[new]]), np.concatenate([loss_part, loss[new]])
+
+    def demands(f: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the longest beginning that an empty sequence takes."""
+        f = np.minimum(f, limits.tokens)
+        b = np.minimum(b, np.minimum(limits.tokens - f, limits.loss))
+        return np.stack([f + b, np.ones(len(f)), b], 1) / caps
 
-    caps = np.array([limits.tokens, limits.segments, limits.loss], float)
     refill()
-    demand = np.zeros((0, 3))
-
-    def weigh() -> np.ndarray:
-        rest = np.array([lengths[i] - begin[i] for i in pool], float)
-        lossy = np.array([bears(i, int(begin[i]), int(lengths[i] - begin[i])) for i in pool], float)
-        return np.stack([rest, np.ones(len(pool)), lossy], 1) / caps
-
-    demand = weigh()
-    alive = np.ones(len(pool), bool)
-    while alive.any():
-        free, seq = np.array([1.0, 1.0, 1.0]), []
-        tokens, segments, lossy = limits.tokens, limits.segments, limits.loss
-        while tokens and segments and alive.any():
-            fits = alive & (demand <= free + 1e-9).all(1)
+    demand = demands(free_part, loss_part)
+    while len(item):
+        left, seq = [limits.tokens, limits.segments, limits.loss], []
+        open_ = free_part + loss_part > 0
+        while left[0] and left[1]:
+            free = np.array(left) / caps
+            fits = open_ & (demand <= free + 1e-9).all(1)
             if fits.any():
-                scores = np.where(fits, demand @ free, -1.0)
-                k = int(scores.argmax())
-                i, n = pool[k], int(lengths[pool[k]] - begin[pool[k]])
+                k = int(np.where(fits, demand @ free, -1.0).argmax())
             else:
-                k = int(np.where(alive, demand[:, 0], -1.0).argmax())
-                i = pool[k]
-                n = largest(i, tokens, lossy)
-                if n <= 0:
+                f = np.minimum(free_part, left[0])
+                takes = np.where(open_, f + np.minimum(loss_part, np.minimum(left[0] - f, left[2])), 0)
+                k = int(takes.argmax())
+                if takes[k] <= 0:
                     break
-            seq.append((i, int(begin[i]), n))
-            used = bears(i, int(begin[i]), n)
-            begin[i] += n
-            tokens, segments, lossy = tokens - n, segments - 1, lossy - used
-            free = np.array([tokens, segments, lossy]) / caps
-            if begin[i] == lengths[i]:
-                alive[k] = False
-            else:
-                rest = int(lengths[i] - begin[i])
-                demand[k] = np.array([rest, 1, bears(i, int(begin[i]), rest)]) / caps
-        if not seq:  # a piece that no empty sequence takes
-            raise ValueError("a piece fits no sequence")
+            f = min(int(free_part[k]), left[0])
+            b = min(int(loss_part[k]), left[0] - f, left[2])
+            seq.append((int(item[k]), int(start[k]), f + b))
+            left = [left[0] - f - b, left[1] - 1, left[2] - b]
+            start[k] += f + b
+            free_part[k] -= f
+            loss_part[k] -= b
+            demand[k] = demands(free_part[k : k + 1], loss_part[k : k + 1])[0]
+            open_[k] = free_part[k] + loss_part[k] > 0
         out.append(seq)
-        if low < high and alive.sum() < window:
-            pool = [i for k, i in enumerate(pool) if alive[k]]
+        if open_.sum() < (window if low < high else len(item)):
+            item, start, free_part, loss_part = (x[open_] for x in (item, start, free_part, loss_part))
             refill()
-            demand, alive = weigh(), np.ones(len(pool), bool)
+            demand = demands(free_part, loss_part)
     return out
 
 
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, n_loss bigint"
 
 
-def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 0, limits: Limits = Limits(), block_bytes: int = 4_000_000, loss_from: Callable[[str], int] | None = None, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 0, limits: Limits = Limits(), block_bytes: int = 4_000_000, loss_from: Callable[[str], int] | None = None, prompt: float = PROMPT, keep_ids: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_loss (and ids, if kept).
 
-    loss_from gives the code point from which on a text bears loss (default: all of it).
+    loss_from gives the code point from which on a text bears loss; without it the first `prompt` of a document's tokens bear none.
     """
     kind = docs.schema[key].dataType.simpleString()
     picked = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
@@ -186,7 +173,7 @@ def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", voc
             for t in batch.column("__text").to_pylist():
                 own = bpe.ids(t).astype("<u4")
                 ids.append(np.append(own, np.array([end_id], "<u4")))
-                loss.append(len(ids[-1]) - (len(bpe.ids(t[: loss_from(t)])) if loss_from else 0))
+                loss.append(len(ids[-1]) - (len(bpe.ids(t[: loss_from(t)])) if loss_from else int(prompt * len(ids[-1]))))
             lengths = np.array([len(x) for x in ids], np.int64)
             rows = []
             for seq in pack(lengths, np.array(loss, np.int64), limits):
@@ -209,4 +196,4 @@ def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", voc
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    return pack_documents(docs).drop("n_loss")
+    return pack_documents(docs)
