@@ -80,6 +80,17 @@ def weighted_blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int
             yield batch.slice(begin)
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, limit: int) -> DataFrame:
+    """Inner join on `key`, which is unique in right; right's column `rows` tells how many rows of left have it.
+
+    Keys of more than `limit` rows are broadcast, so that no task gets all rows of one; of a left side of n rows they are at
+    most n / limit, which is the bound of the broadcast. Left is read twice and should be a table.
+    """
+    hot = F.broadcast(right.where(F.col(rows) > limit))
+    cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(rows) <= limit), key)
+    return left.join(hot, key).unionByName(cold)
+
+
 def distinct_name(df: DataFrame, stem: str) -> str:
     """A column name that df lacks (Spark compares names without case)."""
     taken, name = {c.lower() for c in df.columns}, stem

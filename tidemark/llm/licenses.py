@@ -24,7 +24,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import written
+from tidemark.llm._shared import hot_join, written
 
 #: Identifier and header text of licences (fixed values).
 TEMPLATES = {
@@ -46,6 +46,8 @@ TERM = r"[a-z0-9.]*[a-z0-9]"
 
 #: A header may be wrapped over so many lines.
 WRAP = 3
+#: Terms of more than this part of all (unit, term) rows, or of 1000, are joined by broadcast.
+HOT_TERMS = 5000
 #: Whole licences, one text a licence, by its name; the licences of Creative Commons have headers only.
 BODIES = Path(__file__).with_name("licence_texts")
 
@@ -123,7 +125,9 @@ def _reaches(terms: Column, vectors: dict[str, dict[str, float]], least: float)
 def _compare(units: DataFrame, keys: list[str], vectors: dict[str, dict[str, float]], n_files: int, df: DataFrame) -> DataFrame:
     """keys, license, cosine (6 decimals) of each unit (keys, terms) and each template with which it shares a term."""
     spark = units.sparkSession
-    counted = written(units.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf")).join(df, "term"), "licence-terms")
+    counted = written(units.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf")), "licence-counts")
+    # a term of a licence is in every unit
+    counted = written(hot_join(counted, df, "term", "df", max(1000, counted.count() // HOT_TERMS)), "licence-terms")
     rows = [(name, term, w, math.sqrt(sum(x * x for x in v.values()))) for name, v in vectors.items() for term, w in v.items()]
     x = F.col("x")
     templates = F.broadcast(_rows(spark, rows).select(x[0].alias("license"), x[1].alias("term"), x[2].cast("double").alias("t_w"), x[3].cast("double").alias("t_norm")))
@@ -170,44 +174,59 @@ def scan(files: DataFrame, file: str, path: str, text: str, is_license_file: Col
     return joined.select(F.col("f").alias(file), F.col("p").alias(path), "own_license", "own_cosine", F.coalesce("own_license", "from_license").alias("license"), F.when(F.col("own_license").isNull(), F.col("from_dir")).alias("inherited_from"))
 
 
-#: A document stands as a file source/lang/<hundreds of its id>/<id>; the ones whose id ends in 0 stand as licence files.
+#: Documents have no paths; the query stands a document at source/lang/<hundreds of its id>/<id>. Those whose id ends in 0 are licence files, and
+#: stand in turn (by the digits before) in such a directory, at source/lang/<id> and at source/<id>, so that licences are inherited over one to three levels.
 def document_path() -> Column:
-    group = F.floor(F.col("doc_id") / 100).cast("string")
-    return F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), group, F.col("doc_id").cast("string"))
+    source, lang = F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-"))
+    group, name = F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string")
+    level = F.when(is_licence_file(), F.pmod(F.floor(F.col("doc_id") / 10), F.lit(3))).otherwise(F.lit(0))
+    return F.when(level == 2, F.concat_ws("/", source, name)).when(level == 1, F.concat_ws("/", source, lang, name)).otherwise(F.concat_ws("/", source, lang, group, name))
+
+
+def is_licence_file() -> Column:
+    return F.pmod(F.col("doc_id"), F.lit(10)) == 0
 
 
 def op10(docs: DataFrame) -> DataFrame:
     """Licence of every document, own or inherited; see document_path for where documents stand."""
     files = docs.select("doc_id", document_path().alias("path"), "text")
-    return scan(files, "doc_id", "path", "text", F.pmod(F.col("doc_id"), F.lit(10)) == 0)
+    return scan(files, "doc_id", "path", "text", is_licence_file())
 
 
 def op10_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = lambda rows: ", ".join(f"({quoted(a)}, {quoted(b)}, {k})" for a, b, k in rows)
     words = sorted({t for _, t, _ in _template_terms() if not t.replace(".", "").isdigit()})
     any_word = r"(^|[^a-z0-9.])(" + "|".join(w.replace(".", r"\.") for w in words) + r")($|[^a-z0-9])"
+    stop = ", ".join(map(quoted, STOP))
+    windows = " UNION ALL ".join(f"SELECT doc_id, {n} AS n_lines, unnest(list_transform(range(1, len(lines) - {n} + 2), lambda i: {{'i': i, 'w': array_to_string(lines[i : i + {n - 1}], chr(10))}})) AS x FROM split WHERE len(lines) >= {n}" for n in range(1, WRAP + 1))
     return f"""
 WITH files AS (
-  SELECT doc_id, text, doc_id % 10 = 0 AS licence_file,
-         coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR) AS dir
+  SELECT doc_id, text, doc_id % 10 = 0 AS licence_file, coalesce(source, '-') AS s, coalesce(lang, '-') AS l,
+         CASE WHEN doc_id % 10 = 0 THEN CAST(floor(doc_id / 10) AS BIGINT) % 3 ELSE 0 END AS level
   FROM documents
-), lines AS (
-  SELECT doc_id, g.i AS line_no, string_split(text, chr(10))[g.i] AS line FROM files, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i) g
+), placed AS (
+  SELECT doc_id, text, licence_file, CASE level WHEN 2 THEN s WHEN 1 THEN s || '/' || l ELSE s || '/' || l || '/' || CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR) END AS dir FROM files
+), n AS (SELECT count(DISTINCT doc_id) AS n_files FROM documents),
+df AS (
+  SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM documents) WHERE term NOT IN ({stop}) GROUP BY term
+), split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE regexp_matches(lower(text), '{any_word}')),
+windows AS ({windows}),
+units AS (
+  SELECT 'header' AS kind, doc_id, n_lines, x.i AS line_no, x.w AS t FROM windows WHERE regexp_matches(lower(x.w), '{any_word}')
+  UNION ALL SELECT 'body', doc_id, 0, 0, text FROM placed WHERE licence_file AND text IS NOT NULL
 ), terms AS (
-  SELECT doc_id, line_no, term, count(*) AS tf FROM (
-    SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM lines WHERE regexp_matches(lower(line), '{any_word}')
-  ) WHERE term NOT IN ({", ".join(map(quoted, STOP))}) GROUP BY ALL
-), n AS (SELECT count(DISTINCT doc_id) AS n_files FROM terms),
-df AS (SELECT term, count(DISTINCT doc_id) AS df FROM terms GROUP BY term),
-templates(license, term, k) AS (VALUES {", ".join(f"({quoted(a)}, {quoted(b)}, {k})" for a, b, k in _template_terms())}),
-tw AS (SELECT license, term, k * (ln((1 + n_files) / (1 + coalesce(df, 0))) + 1) AS w FROM templates LEFT JOIN df USING (term), n),
-tn AS (SELECT license, sqrt(sum(w * w)) AS t_norm FROM tw GROUP BY license),
-lw AS (SELECT doc_id, line_no, term, tf * (ln((1 + n_files) / (1 + df)) + 1) AS w FROM terms JOIN df USING (term), n),
-ln AS (SELECT doc_id, line_no, sqrt(sum(w * w)) AS l_norm FROM lw GROUP BY ALL),
-dots AS (SELECT doc_id, line_no, license, sum(lw.w * tw.w) AS dot FROM lw JOIN tw USING (term) GROUP BY ALL),
-cos AS (SELECT doc_id, license, round(dot / (t_norm * l_norm), 6) AS cosine FROM dots JOIN tn USING (license) JOIN ln USING (doc_id, line_no)),
+  SELECT kind, doc_id, n_lines, line_no, term, count(*) AS tf FROM (SELECT kind, doc_id, n_lines, line_no, unnest(regexp_extract_all(lower(t), '{TERM}')) AS term FROM units) WHERE term NOT IN ({stop}) GROUP BY ALL
+), templates(kind, license, term, k) AS (
+  SELECT 'header', * FROM (VALUES {values(_template_terms())}) UNION ALL SELECT 'body', * FROM (VALUES {values(_body_terms())})
+), tw AS (SELECT kind, license, term, k * (ln((1 + n_files) / (1 + coalesce(df, 0))) + 1) AS w FROM templates LEFT JOIN df USING (term), n),
+tn AS (SELECT kind, license, sqrt(sum(w * w)) AS t_norm FROM tw GROUP BY ALL),
+uw AS (SELECT kind, doc_id, n_lines, line_no, term, tf * (ln((1 + n_files) / (1 + df)) + 1) AS w FROM terms JOIN df USING (term), n),
+un AS (SELECT kind, doc_id, n_lines, line_no, sqrt(sum(w * w)) AS u_norm FROM uw GROUP BY ALL),
+dots AS (SELECT kind, doc_id, n_lines, line_no, license, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (kind, term) GROUP BY ALL),
+cos AS (SELECT doc_id, license, round(dot / (t_norm * u_norm), 6) AS cosine FROM dots JOIN tn USING (kind, license) JOIN un USING (kind, doc_id, n_lines, line_no)),
 best AS (SELECT doc_id, license AS own_license, cosine AS own_cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS r FROM cos WHERE cosine >= 0.7) WHERE r = 1),
-own AS (SELECT f.doc_id, f.dir, f.licence_file, b.own_license, b.own_cosine FROM files f LEFT JOIN best b USING (doc_id)),
+own AS (SELECT f.doc_id, f.dir, f.licence_file, b.own_license, b.own_cosine FROM placed f LEFT JOIN best b USING (doc_id)),
 handed AS (SELECT dir, own_license AS dir_license FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_cosine DESC, own_license) AS r FROM own WHERE licence_file AND own_license IS NOT NULL) WHERE r = 1),
 nearest AS (
   SELECT d, dir AS from_dir, dir_license AS from_license FROM (
