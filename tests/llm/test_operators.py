@@ -147,6 +147,15 @@ def test_op2_edges(docs):
     assert nearjoin.deduplicated(docs).columns == docs.columns
 
 
+def test_op2_ids_with_two_texts(spark):
+    text = lambda k: " ".join(f"w{k}x{n}" for n in range(40))
+    rows = [(1, text(1)), (7, text(1)), (7, text(2)), (9, text(2)), (5, text(3)), (5, text(3)), (5, text(4)), (8, text(4) + " more"), (None, text(1)), (3, None), (3, text(5)), (4, text(5))]
+    found = sorted({(r["id"], r["component_id"]) for r in nearjoin.join_components(spark.createDataFrame(rows, "doc_id bigint, text string")).where("id IS NOT NULL").collect()})
+    assert found == [(1, 1), (3, 3), (4, 3), (5, 5), (7, 1), (8, 5), (9, 1)]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(1) for c in ("gone_id", "__gone", "id", "rep", "set_id", "node")})
+    assert sorted({r["doc_id"] for r in nearjoin.deduplicated(odd).collect() if r["doc_id"] is not None}) == [1, 3, 5]
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (130, 2))] + [(k, k + 1) for k in range(300, 340)]

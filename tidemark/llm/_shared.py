@@ -80,12 +80,17 @@ def weighted_blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int
             yield batch.slice(begin)
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, limit: int) -> DataFrame:
-    """Inner join on `key`, which is unique in right; right's column `rows` tells how many rows of left have it.
+#: A key of more than this part of all rows is hot; there are at most so many.
+HOT_PARTS = 2000
 
-    Keys of more than `limit` rows are broadcast, so that no task gets all rows of one; of a left side of n rows they are at
-    most n / limit, which is the bound of the broadcast. Left is read twice and should be a table.
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, least: int = 1000) -> DataFrame:
+    """Inner join on `key`, which is unique in right; right's column `rows` tells how many rows of left (of `total`) have it.
+
+    Keys of more than total / HOT_PARTS rows (and more than `least`) are joined by broadcast, of at most HOT_PARTS rows, so that no task
+    gets all rows of such a key; the others are joined as usual. Left is read twice and should be a table.
     """
+    limit = max(least, total // HOT_PARTS)
     hot = F.broadcast(right.where(F.col(rows) > limit))
     cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(rows) <= limit), key)
     return left.join(hot, key).unionByName(cold)

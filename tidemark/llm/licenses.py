@@ -46,8 +46,6 @@ TERM = r"[a-z0-9.]*[a-z0-9]"
 
 #: A header may be wrapped over so many lines.
 WRAP = 3
-#: Terms of more than this part of all (unit, term) rows, or of 1000, are joined by broadcast.
-HOT_TERMS = 5000
 #: Whole licences, one text a licence, by its name; the licences of Creative Commons have headers only.
 BODIES = Path(__file__).with_name("licence_texts")
 
@@ -127,7 +125,7 @@ def _compare(units: DataFrame, keys: list[str], vectors: dict[str, dict[str, flo
     spark = units.sparkSession
     counted = written(units.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf")), "licence-counts")
     # a term of a licence is in every unit
-    counted = written(hot_join(counted, df, "term", "df", max(1000, counted.count() // HOT_TERMS)), "licence-terms")
+    counted = written(hot_join(counted, df, "term", "df", df.agg(F.sum("df")).first()[0] or 0), "licence-terms")
     rows = [(name, term, w, math.sqrt(sum(x * x for x in v.values()))) for name, v in vectors.items() for term, w in v.items()]
     x = F.col("x")
     templates = F.broadcast(_rows(spark, rows).select(x[0].alias("license"), x[1].alias("term"), x[2].cast("double").alias("t_w"), x[3].cast("double").alias("t_norm")))

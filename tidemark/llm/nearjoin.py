@@ -13,9 +13,15 @@ threshold 0.85 is missed by 12 with probability 0.15 ** 12, which is the recall
 3. Full sets are brought together once a cluster (in pairs of parts, if a cluster is large), and the links on full sets
    are found by counting intersections from postings. Their components are the result.
 
+A class is named by its least id. If rows share an id but not their set, further classes of that id get names above all ids, and
+the classes of one id are linked, so that rows that share an id are one document and keep the links of all their texts.
+
+The filter that spares the making of sets is exact in what it keeps and has a fixed size (4 MB): of many more than ten million ids in clusters
+it lets all documents through, and all sets are made a second time; results do not change.
+
 Defined results: null and empty texts have empty sets and are linked with nothing; a text of fewer words than a shingle is
-one shingle; rows that share an id are one document for links; null ids take part in no link and have a null component; an empty table gives an empty result;
-extra columns are not read.
+one shingle; null ids take part in no link and have a null component; ties between names go to the lesser digest of the set; an empty table gives an empty
+result; extra columns are not read, whatever their names. Ids are below 2 ** 62.
 """
 
 from __future__ import annotations
@@ -30,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from tidemark.llm._shared import raw_texts, weighted_blocks, written
+from tidemark.llm._shared import distinct_name, hot_join, raw_texts, weighted_blocks, written
 from tidemark.llm.components import components
 
 SKETCH = 64
@@ -94,7 +101,7 @@ def signatures(docs: DataFrame, text: str, key: str, size: int, block_bytes: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in weighted_blocks(batches, "__text", block_bytes):
             sets = shingle_sets(raw_texts(batch.column("__text")), size)
-            ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            ids = list(map(_digest, sets))
             sketches = pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.binary()), sketches], names=["id", "n_shingles", "set_id", "sketch"])
 
@@ -111,9 +118,13 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, ids: DataFrame, text: str, key: str, size: int, block_bytes: int = 4_000_000) -> DataFrame:
-    """id, set (its sorted hashes as bytes) of the documents that the filter of ids lets through: all of ids, hardly any other."""
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(ids))
+def _digest(hashes: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
+def _sets(docs: DataFrame, classes: DataFrame, text: str, key: str, size: int, block_bytes: int = 4_000_000) -> DataFrame:
+    """rep, set (its sorted hashes as bytes) of each of classes (rep, id, set_id); only documents that the filter of ids lets through are read: all of ids, hardly any other."""
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(classes.select("id")))
     bits = [F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(FILTER_BITS)) for k in range(FILTER_HASHES)]
     picked = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("__text")).where(F.col("id").isNotNull()).withColumn("__bits", F.array(*bits))
 
@@ -124,9 +135,10 @@ def _sets(docs: DataFrame, ids: DataFrame, text: str, key: str, size: int, block
             some = whole.filter(pa.array(((words[b >> 5] >> (b & 31).astype(np.uint32)) & 1).all(1)))
             for batch in weighted_blocks(iter([some]), "__text", block_bytes):
                 sets = shingle_sets(raw_texts(batch.column("__text")), size)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set_id", "set"])
 
-    return picked.mapInArrow(run, "id bigint, set binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    # rows that share id and set give one row
+    return picked.mapInArrow(run, "id bigint, set_id binary, set binary").join(classes, ["id", "set_id"]).select("rep", "set").dropDuplicates(["rep"])
 
 
 def forest(sketches: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -202,8 +214,11 @@ def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     s = percent / 100
     least = max(1, int(SKETCH * (s - 5 * (s * (1 - s) / SKETCH) ** 0.5)))
     base = written(signatures(docs, text, key, size), "signatures")
-    classes = written(base.where(F.col("id").isNotNull() & F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min_by("sketch", "id").alias("sketch"), F.min("id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
-    reps = classes.groupBy("rep").agg(F.first("sketch").alias("sketch"), F.max("n").alias("n_shingles"))
+    known = base.where(F.col("id").isNotNull() & F.col("set_id").isNotNull())
+    least_ids = known.groupBy("set_id").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
+    nth = F.row_number().over(W.Window.partitionBy("id").orderBy("set_id"))
+    above = F.lit(1 << 62) + F.pmod(F.xxhash64("set_id"), F.lit(1 << 61))
+    reps = written(least_ids.withColumn("nth", nth).select("set_id", "id", "sketch", "n_shingles", "n", F.when(F.col("nth") == 1, F.col("id")).otherwise(above).alias("rep")), "classes")
 
     def child(node, j, chosen):
         return F.xxhash64(node, j, F.element_at("sketch", (chosen + 1).cast("int")))
@@ -213,7 +228,9 @@ def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     level = reps.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(trees * branches - 1))).alias("j")).select("rep", child(F.lit(0), F.col("j"), coordinate).alias("node"))
     edges = []
     for depth in range(LEVELS + 1):
-        level = written(level.join(level.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 1), "node"), f"level{depth}")
+        level = written(level, f"nodes{depth}")
+        counts = level.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+        level = written(hot_join(level, counts, "node", "n", level.count()), f"level{depth}")
         large = level.where(F.col("n") > SMALL)
         last = depth == LEVELS
         groups = level.where(F.col("n") <= SMALL).select("node", "rep", F.lit(0).alias("i"), F.lit(0).alias("j"))
@@ -230,18 +247,23 @@ def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     # clusters of candidates hold every link; links are found on full sets, cluster by cluster
     clusters = written(components(reduce(DataFrame.union, edges)).join(reps.select("rep", "n_shingles"), F.col("node") == F.col("rep")).select("rep", F.col("component").alias("cluster"), "n_shingles"), "clusters")
-    weight = clusters.groupBy("cluster").agg(F.sum("n_shingles").alias("w"))
+    weight = clusters.groupBy("cluster").agg(F.sum("n_shingles").alias("w"), F.count("*").alias("n"))
     parts = F.ceil(F.col("w") / F.lit(PART_SHINGLES)).cast("int")
-    spread = _pairs_of_parts(clusters.join(weight, "cluster"), F.pmod(F.xxhash64("rep"), parts).cast("int"), parts)
-    sets = written(_sets(docs, clusters.select(F.col("rep").alias("id")), text, key, size), "sets")
-    members = spread.join(sets, F.col("rep") == F.col("id")).groupBy("cluster", "i", "j").agg(F.collect_list(F.struct("id", "set")).alias("members")).select("members")
+    spread = _pairs_of_parts(hot_join(clusters, weight, "cluster", "n", clusters.count()), F.pmod(F.xxhash64("rep"), parts).cast("int"), parts)
+    sets = written(_sets(docs, reps.join(clusters.select("rep"), "rep", "left_semi").select("rep", "id", "set_id"), text, key, size), "sets")
+    members = spread.join(sets, "rep").groupBy("cluster", "i", "j").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "set")).alias("members")).select("members")
     found = written(members.mapInArrow(lambda it: _link_edges(it, percent), "u bigint, v bigint"), "links")
     if links:
         return found.distinct()
-    groups = components(found)
-    of_class = classes.select("set_id", "rep").join(groups, F.col("rep") == F.col("node"), "left").select(F.col("set_id").alias("s"), F.coalesce("component", "rep").alias("component_id"))
-    joined = base.select("id", "n_shingles", "set_id").join(of_class, F.col("set_id") == F.col("s"), "left")
-    return joined.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    # classes that share an id
+    several = known.groupBy("id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where(F.col("a") != F.col("b")).select("id")
+    shared = known.join(several, "id").select("id", "set_id").distinct().join(reps.select("set_id", "rep"), "set_id")
+    least_rep = shared.groupBy("id").agg(F.min("rep").alias("v"))
+    groups = components(found.union(shared.join(least_rep, "id").select(F.col("rep").alias("u"), "v")))
+    of_class = reps.select("set_id", "rep", "n").join(groups, F.col("rep") == F.col("node"), "left").select("set_id", "n", F.coalesce("component", "rep").alias("component_id"))
+    in_class = hot_join(known.select("id", "n_shingles", "set_id"), of_class, "set_id", "n", base.count())
+    alone = base.where(F.col("id").isNull() | F.col("set_id").isNull()).select("id", "n_shingles", F.col("id").alias("component_id"))
+    return in_class.select("id", "n_shingles", "component_id").union(alone)
 
 
 def _pairs_of_parts(rows: DataFrame, part, parts) -> DataFrame:
@@ -252,8 +274,9 @@ def _pairs_of_parts(rows: DataFrame, part, parts) -> DataFrame:
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """docs without the documents that a lesser id stands for; null ids stay."""
-    gone = join_components(docs, text, key, size, percent).where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(key).cast("bigint") == F.col("__gone"), "left_anti")
+    name = distinct_name(docs, "gone_id")
+    gone = join_components(docs, text, key, size, percent).where(F.col("id") != F.col("component_id")).select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, F.col(key).cast("bigint") == F.col(name), "left_anti")
 
 
 def op2(docs: DataFrame) -> DataFrame:
