@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,47 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Tables that written() made and scratch() has not removed.
+_WRITTEN: list[str] = []
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_folder(df.sparkSession)}/tidemark-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return stored(df, path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    files, place = _file_system(spark, f"{path}/_SUCCESS")
+    return files.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes at its end what written() made inside; DataFrames that read it must have been used by then."""
+    mark = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        while len(_WRITTEN) > mark:
+            remove(spark, _WRITTEN.pop())
 
 
 def crc_mod(col: str, m: int) -> Column:

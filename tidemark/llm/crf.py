@@ -5,11 +5,12 @@ each feature and one for each pair of neighbouring labels; it is fitted by gradi
 labelled documents, whose lines all carry their document's label. A text's score is the mean of its lines' forward-backward
 marginals for good, weighted by the lines' lengths.
 
-Fitting uses a bounded sample: `sample` labelled documents, chosen by a hash of the id, of at most `most_lines` lines.
-Scoring reads whole texts.
+Fitting uses a bounded sample: about `sample` labelled documents, chosen by a hash of the id, and of each at most `lines` neighbouring lines, from a place
+that the hash tells. Executors make the features; only these numbers come to the driver, at most sample * lines * 45 floats (35 MB) whatever the
+texts. Scoring reads whole texts, and needs some fifty bytes a line besides the text.
 
 Defined results: null and empty texts are one empty line; null labels are not learned; without labels every score is 0.5;
-repeated rows repeat their result; an empty table gives an empty result; extra columns are not read.
+repeated rows repeat their result, and repeated labels count each; an empty table gives an empty result; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,28 +30,38 @@ _SYMBOL, _STRONG, _SOFT = b"#*$%&|<>@^~=_\\{}[]", b"!?", b".,;:'\"()-"
 FEATURES = 14
 
 
-def line_features(text: bytes) -> np.ndarray:
-    """(lines, FEATURES) of one text."""
-    out, seen = [], set()
-    for line in text.split(b"\n"):
+#: Lines whose features are in memory at a time.
+CHUNK = 20_000
+
+
+def _own_features(lines: list[bytes], seen: set[bytes]) -> np.ndarray:
+    """(lines, FEATURES) of lines in order; seen: the lines before them."""
+    out = []
+    for line in lines:
         n, words = len(line), line.split()
         k = len(words)
-        share = lambda chars: (n - len(line.translate(None, chars))) / n if n else 0.0
+        share = lambda chars: (n - len(line.translate(None, chars))) / n if n else 0.0  # noqa: E731, B023
         distinct = len(set(words)) / k if k else 1.0
-        alone = sum(map(line.count, (b" | ", b" |\n"))) / k if k else 0.0
-        upper = share(_UPPER)
-        out.append((min(n, 2000) / 500, np.log1p(k), min(n / k, 40) / 10 if k else 0.0, upper, share(_LOWER), share(_DIGIT), share(_SYMBOL), share(_STRONG), share(_SOFT), distinct, alone, float(bool(k) and line in seen), float(line[-1:] in (b".", b"!", b"?", b":")), float(k == 0)))
+        alone = (line.count(b" | ") + (line[-2:] == b" |")) / k if k else 0.0
+        out.append((min(n, 2000) / 500, np.log1p(k), min(n / k, 40) / 10 if k else 0.0, share(_UPPER), share(_LOWER), share(_DIGIT), share(_SYMBOL), share(_STRONG), share(_SOFT), distinct, alone, float(bool(k) and line in seen), float(line[-1:] in (b".", b"!", b"?", b":")), float(k == 0)))
         if k:
             seen.add(line)
-    return np.array(out, float)
+    return np.array(out, float).reshape(-1, FEATURES)
 
 
-def with_neighbours(own: np.ndarray) -> np.ndarray:
-    """Features of the line before and of the line behind (zeros and a mark at the borders) and a constant."""
-    zero, n = np.zeros((1, own.shape[1])), len(own)
-    first, last = np.zeros((n, 1)), np.zeros((n, 1))
-    first[0], last[-1] = 1, 1
-    return np.concatenate([own, np.concatenate([zero, own[:-1]]), np.concatenate([own[1:], zero]), first, last, np.ones((n, 1))], 1)
+def features(lines: list[bytes], chunk: int = CHUNK) -> Iterator[np.ndarray]:
+    """Of each line, by chunks of lines: its own features, those of the line before and of the line behind (zeros and a mark at the borders) and a constant."""
+    seen: set[bytes] = set()
+    before = np.zeros((1, FEATURES))
+    own = _own_features(lines[:chunk], seen)
+    for at in range(0, len(lines), chunk):
+        following = _own_features(lines[at + chunk : at + 2 * chunk], seen)
+        n, last = len(own), not len(following)
+        behind = np.zeros((1, FEATURES)) if last else following[:1]
+        marks = np.zeros((n, 3))
+        marks[0, 0], marks[-1, 1], marks[:, 2] = at == 0, last, 1
+        yield np.concatenate([own, np.concatenate([before, own[:-1]]), np.concatenate([own[1:], behind]), marks], 1)
+        before, own = own[-1:], following
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -99,9 +110,8 @@ class Field:
         return np.stack([-good / 2, good / 2], 1)
 
 
-def fit(texts: list[bytes], labels: list[int], rounds: int = 120, rate: float = 0.1, penalty: float = 2e-3) -> Field:
-    """Adam on the penalised conditional log likelihood per document."""
-    found = [with_neighbours(line_features(t)) for t in texts]
+def fit(found: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.1, penalty: float = 2e-3) -> Field:
+    """Adam on the penalised conditional log likelihood per document; found: features of each document's lines."""
     sizes = np.array(list(map(len, found)), np.int64)
     x = np.concatenate(found)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
@@ -125,17 +135,32 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 120, rate: float =
     return field
 
 
-def learn(docs: DataFrame, labels: DataFrame, allowed: Column, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = 3000, most_lines: int = 400) -> Field | None:
+def learn(docs: DataFrame, labels: DataFrame, allowed: Column, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = 3000, lines: int = 64) -> Field | None:
     """Fit on about `sample` labelled documents; the sample of ids is bounded, and so is its broadcast."""
-    known = labels.where(allowed & F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y"))
+    known = labels.where(allowed & F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     n = known.count()
     if not n:
         return None
-    share = min(1.0, sample / n)
-    ids = known.where(F.pmod(F.xxhash64("__k", F.lit(11)), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
-    rows = docs.join(F.broadcast(ids), F.col(key) == F.col("__k")).where(F.col(text).isNotNull()).select("__k", F.col(text).alias("__t"), "__y").collect()
-    rows = [(r["__t"].encode(), int(r["__y"] == 1)) for r in sorted(rows, key=lambda r: (r["__k"], r["__y"], r["__t"])) if r["__t"].count("\n") < most_lines]
-    return fit([t for t, _ in rows], [y for _, y in rows]) if rows else None
+    place = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1 << 30))
+    ids = known.where(place < F.lit(min(1.0, sample / n) * (1 << 30)))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(ids), "k").select("k", "y", F.xxhash64("k", F.lit(12)).alias("h"), "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in weighted_blocks(batches, "t", 4_000_000):
+            out = []
+            for h, t in zip(batch.column("h").to_pylist(), raw_texts(batch.column("t")), strict=True):
+                own = t.split(b"\n")
+                first = h % max(1, len(own) - lines + 1)
+                parts, at = [], 0
+                for x in features(own):
+                    parts.append(x[max(0, first - at) : max(0, first + lines - at)])
+                    at += len(x)
+                out.append(np.concatenate(parts).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array(out, pa.binary())], names=["k", "y", "x"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    found = sorted(rows.mapInArrow(run, f"k {kind}, y int, x binary").collect(), key=lambda r: (r["k"], r["y"], bytes(r["x"])))
+    return fit([np.frombuffer(r["x"], np.float32).reshape(-1, 3 * FEATURES + 3).astype(float) for r in found], [int(r["y"] == 1) for r in found]) if found else None
 
 
 def quality(docs: DataFrame, field: Field | None, text: str = "text", keys: tuple[str, ...] = ("doc_id",), block_bytes: int = 4_000_000) -> DataFrame:
@@ -144,13 +169,17 @@ def quality(docs: DataFrame, field: Field | None, text: str = "text", keys: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in weighted_blocks(batches, "__text", block_bytes):
-            own = [line_features(t) for t in raw_texts(batch.column("__text"))]
-            sizes = np.array(list(map(len, own)), np.int64)
-            if field is None:
-                scores = np.full(len(sizes), 0.5)
-            else:
-                marginals = forward_backward(field.unary(np.concatenate([with_neighbours(x) for x in own])), sizes, field.trans)[0][:, 1]
-                lengths = np.concatenate([np.array([max(1, len(line)) for line in t.split(b"\n")], float) for t in raw_texts(batch.column("__text"))])
+            sizes, unary, lengths = [], [], []
+            for t in raw_texts(batch.column(len(keys))):
+                own = t.split(b"\n")
+                sizes.append(len(own))
+                lengths.append(np.fromiter((len(x) or 1 for x in own), float, len(own)))
+                if field is not None:
+                    unary += map(field.unary, features(own))
+            sizes, lengths = np.array(sizes, np.int64), np.concatenate(lengths)
+            scores = np.full(len(sizes), 0.5)
+            if field is not None:
+                marginals = forward_backward(np.concatenate(unary), sizes, field.trans)[0][:, 1]
                 begins = np.cumsum(sizes) - sizes
                 scores = np.clip(np.add.reduceat(marginals * lengths, begins) / np.add.reduceat(lengths, begins), 0, 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())], names=[*keys, "n_lines", "score"])

@@ -3,8 +3,9 @@
 A byte-level BPE vocabulary measures characters per token, the share of tokens that are not whole characters, and the
 entropy of a text's tokens; a vocabulary of pieces with byte fallback measures characters per piece and the share of
 pieces that are fallback bytes. Each language has a band for each measure, and texts outside of a band are rejected;
-a language without bands of its own is judged by those of its text's script. A measure judges only texts with tokens
-enough (`least_tokens`), since few tokens say little. Besides, base rules count words, symbols, repeated lines and
+a language without bands of its own is judged by those of its text's script. Bands hold for texts of SURE tokens or more; below
+they widen as the spread of a mean does, by the root of SURE / tokens (the least entropy by the binary logarithm of the tokens, which is
+the most that a text can have), so that every text with a token is judged. Besides, base rules count words, symbols, repeated lines and
 repeated three-word windows.
 
 The piece vocabulary is applied word by word: no piece has a word mark behind its start, so pieces never span two words.
@@ -34,6 +35,10 @@ SYMBOLS = "#*$%&|<>"
 _SYMBOLS_GONE = str.maketrans("", "", SYMBOLS)
 
 
+#: Tokens from which on bands are as wide as they are written.
+SURE = 100
+
+
 @dataclass(frozen=True)
 class Bands:
     """(least, most) of each measure."""
@@ -44,6 +49,20 @@ class Bands:
     chars_per_piece: tuple[float, float]
     fallback_share: tuple[float, float]
 
+    def outside(self, measured: dict[str, float], tokens: int) -> str | None:
+        """The first measure out of its band for a text of so many tokens."""
+        wider = max(1.0, SURE / max(tokens, 1)) ** 0.5
+        for name, value in measured.items():
+            least, most = getattr(self, name)
+            if name == "entropy":
+                least *= min(1.0, math.log2(max(tokens, 1)) / math.log2(SURE)) / wider**0.5
+                most *= wider
+            else:
+                least, most = least / wider, most * wider
+            if not least <= value <= most:
+                return name
+        return None
+
 
 #: By language: a little beyond the extremes of texts labelled good, so that clean texts stay.
 LANGUAGES = {
@@ -118,7 +137,7 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
 OUT = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, n_tokens bigint, chars_per_token double, partial_share double, entropy double, n_pieces bigint, chars_per_piece double, fallback_share double, rejected_by string"
 
 
-def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str | None = "lang", bpe_name: str = "byte_bpe_50k.tiktoken", piece_name: str = "piece_bpe_32k.model", languages: dict[str, Bands] | None = None, scripts: dict[str, Bands] | None = None, least_tokens: int = 100, block_bytes: int = 4_000_000) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str | None = "lang", bpe_name: str = "byte_bpe_50k.tiktoken", piece_name: str = "piece_bpe_32k.model", languages: dict[str, Bands] | None = None, scripts: dict[str, Bands] | None = None, block_bytes: int = 4_000_000) -> DataFrame:
     """Base counts, measures and verdict of every row; rejected_by names the first measure out of its band (null: none)."""
     languages, scripts = languages or LANGUAGES, scripts or SCRIPTS
     picked = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"), (F.col(lang).cast("string") if lang else F.lit(None).cast("string")).alias("__lang"))
@@ -151,10 +170,10 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str |
                     n_pieces = sum(x[0] for x in found)
                     per_piece, fallback = chars / max(n_pieces, 1), sum(x[1] for x in found) / max(n_pieces, 1)
                 why = None
-                if n >= least_tokens:
+                if n:
                     bands = languages.get(own) or scripts.get(script(t)) or scripts[""]
                     measured = {"chars_per_token": per, "partial_share": share, "entropy": entropy, "chars_per_piece": per_piece, "fallback_share": fallback}
-                    why = next((k for k, v in measured.items() if not getattr(bands, k)[0] <= v <= getattr(bands, k)[1]), None)
+                    why = bands.outside(measured, n)
                 rows.append((len(words), chars, symbols, dup, repeated, failed, not failed and why is None, n, per, share, entropy, n_pieces, per_piece, fallback, why))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.float64()] * 3 + [pa.int64()] + [pa.float64()] * 2 + [pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds))], names=[key, *names])

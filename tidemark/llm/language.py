@@ -7,10 +7,15 @@ shorter context is asked, down to 1/256 (method C, no exclusions). A text goes t
 all of its bytes; its score is that language's share of 2^-length over the languages (a posterior with equal priors).
 
 Statistics come from a bounded sample: of each language about `sample_bytes` bytes of text in the documents that may be
-learned from, chosen by a hash of the id (the least hash is always in). Scoring reads whole texts.
+learned from, whole documents chosen by a hash of the id (the least hash is always in). Documents longer than that are learned from only if a language has no
+other: then its shortest one is the sample. Scoring reads whole texts.
+
+accepted() also rejects texts that no language codes in `most_bits` bits a byte or less: at 8 that are those that the statistics describe no better than
+plain bytes do, such as texts in a script that was not learned, whichever language comes nearest.
 
 Defined results: null texts and texts without a letter get `und` and score 0; with no labelled document every text is
-`und`; null languages are not learned; repeated rows repeat their result; ties go to the first language by code point.
+`und`; null languages are not learned; repeated rows repeat their result; ties go to the first language by code point; an empty table gives an
+empty result; extra columns are not read, whatever their names (accepted() passes them on).
 """
 
 from __future__ import annotations
@@ -86,14 +91,20 @@ class Tree:
 
 def learn(docs: DataFrame, allowed: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_bytes: int = 1_500_000) -> dict[str, Tree]:
     """A tree for each language of the allowed rows. Only the sample comes to the driver: about sample_bytes for a language."""
-    usable = docs.where(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)).alias("h"))
-    with_text = F.octet_length("t") > 0
-    sizes = {r["l"]: (r["n"], r["h"]) for r in usable.where(with_text).groupBy("l").agg(F.sum(F.octet_length("t")).alias("n"), F.min("h").alias("h")).collect()}
-    if not sizes:
+    h = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
+    usable = docs.where(allowed & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.octet_length(text).alias("n"), h.alias("h"))
+    fits = F.col("n") <= sample_bytes
+    found = usable.groupBy("l").agg(F.sum(F.when(fits, F.col("n"))).alias("all"), F.min(F.when(fits, F.col("h"))).alias("h"), F.min(F.struct("n", "h")).alias("shortest")).collect()
+    if not found:
         return {}
     # the least hash is always in, so that a language of a few long documents is learned too
-    below = F.create_map(*[x for k, (n, h) in sorted(sizes.items()) for x in (F.lit(k), F.lit(max(min(1.0, sample_bytes / n) * (1 << 30), h + 1.0)))])
-    picked = usable.where(with_text & (F.col("h") < F.element_at(below, F.col("l")))).select("l", "h", "t").collect()
+    below = {r["l"]: max(min(1.0, sample_bytes / r["all"]) * (1 << 30), r["h"] + 1.0) for r in found if r["all"]}
+    chosen = F.lit(False)
+    for r in sorted(found, key=lambda r: r["l"]):
+        own = fits & (F.col("h") < below[r["l"]]) if r["l"] in below else (F.col("n") == r["shortest"]["n"]) & (F.col("h") == r["shortest"]["h"])
+        chosen |= (F.col("l") == r["l"]) & own
+    picked = usable.where(chosen).select("l", "h", "t").collect()
+    sizes = [r["l"] for r in found]
     texts: dict[str, list[bytes]] = {k: [] for k in sizes}
     for r in sorted(picked, key=lambda r: (r["l"], r["h"], r["t"])):
         texts[r["l"]].append(r["t"].encode())
@@ -135,8 +146,8 @@ def identify(docs: DataFrame, trees: dict[str, Tree], text: str = "text", keys:
     return picked.mapInArrow(run, f"{schema}, lang_pred string, score double, bits double")
 
 
-def accepted(docs: DataFrame, trees: dict[str, Tree], text: str = "text", least: float = 0.5, block_bytes: int = 4_000_000) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a letter and a language with a score of `least` or more (without any tree: a letter)."""
+def accepted(docs: DataFrame, trees: dict[str, Tree], text: str = "text", least: float = 0.5, most_bits: float = 8.0, block_bytes: int = 4_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a letter and a language with a score of `least` or more that codes it in most_bits bits a byte (without any tree: a letter)."""
     names, place, sent = list(trees), docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(list(trees.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +159,10 @@ def accepted(docs: DataFrame, trees: dict[str, Tree], text: str = "text", least:
                 if names and any(keep):
                     judged = [i for i, k in enumerate(keep) if k]
                     found = code_lengths(trees, [texts[i] for i in judged])
-                    share = 1 / np.exp2(np.maximum(found.min(1)[:, None] - found, -1000)).sum(1)
-                    for i, s in zip(judged, share, strict=True):
-                        keep[i] = bool(s >= least)
+                    best = found.min(1)
+                    share = 1 / np.exp2(np.maximum(best[:, None] - found, -1000)).sum(1)
+                    for i, s, n in zip(judged, share, best, strict=True):
+                        keep[i] = bool(s >= least and n <= most_bits * len(texts[i]))
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
