@@ -12,10 +12,11 @@ of the range of keys, one row with its sorted distinct keys and their counts. Th
 If that is all blocks, the group's sums are the totals; else what it merged is a block of the next round, which is
 exchanged by the next bits of the keys in the same way, and the totals come back by the same steps. So rows number FAN a
 block and round, rounds grow with the logarithm of the blocks, a group has about CHUNK parts, and an n-gram is one number in
-a row a block however often it occurs, so that no key makes a task large.
+a row a block however often it occurs, so that no key makes a task large. A round more (from CHUNK blocks on, some 1.5 GB of texts) moves what was
+merged once more, and takes disk for it.
 
-Words are 64-bit hashes. N-grams are hashes of 20 bits more than the binary logarithm of their number (62 at most), so
-that one in about a million meets another by chance; words have exact counts but for chance n^2 / 2^65.
+Words are 64-bit hashes. N-grams are hashes of 16 bits more than the binary logarithm of their number (62 at most), so
+that one in some 65,000 meets another by chance; words have exact counts but for chance n^2 / 2^65.
 
 Defined results: null and empty texts have the end token only; repeated rows count each and repeat their result; without
 training documents all counts are 0 and only the even share is left; an empty table gives an empty result; extra columns are not read.
@@ -42,7 +43,7 @@ END = np.uint64(0x9E3779B97F4A7C15)
 #: One in so many training documents is held out for the weights.
 HELD = 8
 #: Bits of the key that a round deals by (a block sends FAN = 2 ** BITS rows), and blocks whose parts meet in one group.
-BITS, CHUNK = 8, 256
+BITS, CHUNK = 8, 512
 #: Steps of an octave to which estimates are rounded in the held-out statistics: their number has a bound, whatever the input.
 STEPS = 2
 NONE = -10_000
@@ -60,6 +61,15 @@ def _unzip(x, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x), kind)
 
 
+def _zip_tokens(codes: np.ndarray) -> bytes:
+    """Numbers of words, by planes of their bytes."""
+    return _zip(np.ascontiguousarray(codes.astype(np.uint32).view(np.uint8).reshape(-1, 4).T))
+
+
+def _unzip_tokens(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unzip(packed, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -116,9 +126,10 @@ def blocks(docs: DataFrame, train: Column, text: str, key: str, block_bytes: int
             flat[:] = [w for p in parts for w in (*p, b" ")]  # a word is never a blank
             del parts
             codes, distinct = pd.factorize(flat)
+            del flat
             keys = np.fromiter((END if w == b" " else xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
             flags, held_out = (np.array(batch.column(c).to_pylist(), bool) for c in ("train", "held"))
-            cells = ((number, pa.int64()), (len(flat), pa.int64()), (int(sizes[flags].sum()), pa.int64()), (int(sizes[held_out].sum()), pa.int64()), (batch.column("id").to_pylist(), pa.list_(pa.int64())), (sizes.tolist(), pa.list_(pa.int32())), (flags.tolist(), pa.list_(pa.bool_())), (held_out.tolist(), pa.list_(pa.bool_())), (_zip(codes.astype(np.uint32)), pa.binary()), (keys.tobytes(), pa.binary()))
+            cells = ((number, pa.int64()), (len(codes), pa.int64()), (int(sizes[flags].sum()), pa.int64()), (int(sizes[held_out].sum()), pa.int64()), (batch.column("id").to_pylist(), pa.list_(pa.int64())), (sizes.tolist(), pa.list_(pa.int32())), (flags.tolist(), pa.list_(pa.bool_())), (held_out.tolist(), pa.list_(pa.bool_())), (_zip_tokens(codes), pa.binary()), (keys.tobytes(), pa.binary()))
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in cells], names=[x.split()[0] for x in BLOCKS.split(", ")])
             number += 1
 
@@ -132,18 +143,25 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
+HELD_BLOCKS = "block bigint, sizes array<int>, tokens binary, words binary"
+
+
+def _held_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the held-out documents only."""
+    for row in _rows(batches):
+        held, sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
+        used, tokens = np.unique(_unzip_tokens(row["tokens"])[np.repeat(held, sizes)], return_inverse=True)
+        words = np.frombuffer(row["words"], np.uint64)[used]
+        cells = ((row["block"], pa.int64()), (sizes[held].tolist(), pa.list_(pa.int32())), (_zip_tokens(tokens), pa.binary()), (words.tobytes(), pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in cells], names=[x.split()[0] for x in HELD_BLOCKS.split(", ")])
+
+
 class Block:
-    """The n-grams of a block's documents (or of those held out): distinct sorted keys, and each token's places among them."""
-
-    def __init__(self, row: dict, width: int, held_only: bool = False):
-        self.ids, self.sizes = row["ids"], np.array(row["sizes"], np.int64)
-        self.train, self.held = np.array(row["train"], bool), np.array(row["held"], bool)
-        words, tokens = np.frombuffer(row["words"], np.uint64), _unzip(row["tokens"], np.uint32)
-        if held_only:
-            tokens = tokens[np.repeat(self.held, self.sizes)]
-            self.sizes = self.sizes[self.held]
-            used, tokens = np.unique(tokens, return_inverse=True)
-            words = words[used]
+    """The n-grams of a block's documents: distinct sorted keys, and each token's places among them."""
+
+    def __init__(self, row: dict, width: int):
+        self.sizes = np.array(row["sizes"], np.int64)
+        words, tokens = np.frombuffer(row["words"], np.uint64), _unzip_tokens(row["tokens"])
         order = np.argsort(words)
         self.words = words[order]
         place = np.empty(len(words), np.int64)
@@ -302,17 +320,18 @@ def weight_table(weights: dict[int, np.ndarray]) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", block_bytes: int = 5_000_000, dealt: int = BITS, chunk: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", block_bytes: int = 3_000_000, dealt: int = BITS, chunk: int = CHUNK) -> DataFrame:
     """id, train, n_tokens, n_known, train_tokens, base_score, score of every row; counts come from the rows that train tells."""
     packed = written(blocks(docs, train, text, key, block_bytes), "blocks")
     n_blocks, tokens, train_tokens, held_tokens = packed.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_train", "n_held")]).first()
-    width = min(62, math.ceil(math.log2(max(2, 2 * tokens))) + 20)
+    width = min(62, math.ceil(math.log2(max(2, 2 * tokens))) + 16)
     kept_tokens = train_tokens - held_tokens
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             b = Block(row, width)
-            yield _batch(_split(row["block"], 0, 1, (b.words, b.grams), b.counts(b.train), b.counts(b.held), width, dealt), PARTS)
+            train, held = (b.counts(np.array(row[c], bool)) for c in ("train", "held"))
+            yield _batch(_split(row["block"], 0, 1, (b.words, b.grams), train, held, width, dealt), PARTS)
 
     replies = exchanged(packed.mapInArrow(ask, PARTS), n_blocks, width, dealt, chunk)
     types = replies.agg(F.coalesce(F.sum("n_types"), F.lit(0))).first()[0]
@@ -325,11 +344,11 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = lambda f: np.where(f > 0, np.round(STEPS * np.log2(np.maximum(f, 1e-300))), NONE).astype(np.int64)
         for row in _rows(batches):
-            bucket, f3, f2, f1, _ = Block(row, width, held_only=True).estimates(_totals(row, "k"), kept_tokens)
+            bucket, f3, f2, f1, _ = Block(row, width).estimates(_totals(row, "k"), kept_tokens)
             cells, n = np.unique(np.stack([bucket, code(f3), code(f2), code(f1)], 1), axis=0, return_counts=True)
             yield _batch([(*c, k) for c, k in zip(cells.tolist(), n.tolist(), strict=True)], CELLS)
 
-    cells = answered(packed.where(F.col("n_held") > 0), "k").mapInArrow(held_out, CELLS)
+    cells = answered(packed.where(F.col("n_held") > 0).mapInArrow(_held_blocks, HELD_BLOCKS), "k").mapInArrow(held_out, CELLS)
     weights = fit_weights([tuple(r) for r in cells.groupBy("bucket", "f3", "f2", "f1").agg(F.sum("n")).collect()], even)
     table = weight_table(weights) if train_tokens else np.tile([0.0, 0.0, 0.0, 1.0], (PAIR + 66, 1))
 
@@ -342,7 +361,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
             total = lambda x: np.add.reduceat(x, b.begins)  # noqa: E731, B023
             base = np.log10(word + 1) - math.log10(train_tokens + types + 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(b.ids, pa.int64()), pa.array(b.train), pa.array(b.sizes, pa.int64()), pa.array(total((word > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(b.sizes), train_tokens), pa.int64()), pa.array(total(base), pa.float64()), pa.array(total(np.log10(p)), pa.float64())],
+                [pa.array(row["ids"], pa.int64()), pa.array(row["train"], pa.bool_()), pa.array(b.sizes, pa.int64()), pa.array(total((word > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(b.sizes), train_tokens), pa.int64()), pa.array(total(base), pa.float64()), pa.array(total(np.log10(p)), pa.float64())],
                 names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
