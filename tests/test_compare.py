@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import kpi
 from tidemark.operators.distribution import category_changes, category_statistics, ks_statistics, null_rates, numeric_shapes
-from tidemark.operators.profile import semantic_types
+from tidemark.operators.profile import ColumnProfile, column_summary, semantic_types
 from tidemark.plans import catalog, lens
 from tidemark.plans.compare import compare, compute_diff
 from tidemark.plans.findings import DiffResult, Finding
@@ -69,7 +69,19 @@ def test_duplicate_keys_count_nulls(spark):
     assert f.metric["duplicate_count"] == 4
 
 
-@pytest.mark.parametrize("buckets", [2, 3, 128])
+def test_dates_in_part_of_a_column(spark):
+    """Rows beyond the sample decide where the sample is not clear."""
+    mixed = spark.range(4000).selectExpr("CASE WHEN id % 2 = 0 OR id >= 1000 THEN '2024-01-02' ELSE 'x' END AS mostly", "CASE WHEN id % 4 > 0 AND id < 1000 THEN '2024-01-02' ELSE concat('w', id % 30) END AS hardly", "CASE WHEN id < 1000 THEN NULL ELSE '3.4.2024' END AS late").coalesce(1)
+    assert semantic_types(mixed) == {"mostly": "datetime", "hardly": "category", "late": "datetime"}
+
+
+def test_column_summary_samples_are_stable(spark):
+    df = spark.range(300).selectExpr("id % 40 AS n", "concat('v', id) AS s", "array(id) AS arr")
+    some, same = column_summary(df), column_summary(df.repartition(7))
+    assert some == same and len(some[0]["sample"]) == 5 and some[2]["sample"] == [] and some[1]["n_unique"] == 300
+
+
+@pytest.mark.parametrize("buckets", [2, 3, 128, 1000])
 def test_quantiles(spark, buckets):
     frame = lambda v: spark.createDataFrame([(float(x),) for x in v], "x double")
     r = numeric_shapes(frame((1, 2, 4, 8, 9, 11)), frame((5, 5, 5)), ["x"], buckets).first()
@@ -81,7 +93,13 @@ def test_many_categories_stay_bounded(spark):
     a = spark.range(1500, 6000).selectExpr("CAST(id AS STRING) AS c")
     x = category_statistics(b, a, ["c"], 0.1)["c"]
     assert (x["new"], x["gone"], x["known"], len(x["new_values"]), len(x["gone_values"]), x["moved"]) == (3000, 1500, 3000, 1000, 1000, [])
-    assert [f.severity for f in category_changes("c", x)] == ["INFO", "WARN"]
+    new, gone = category_changes("c", x)
+    assert (new.severity, gone.severity, new.metric["new_count"], gone.metric["missing_count"]) == ("INFO", "WARN", 3000, 1500)
+    assert new.title.endswith("and 2,000 more") and gone.title.endswith("and 500 more")
+    # all of them are in the result
+    r = compute_diff(b.union(b).union(b), a.union(a).union(a), columns=[ColumnProfile("c", "category", "string", "string")])
+    assert {tuple(x) for x in r.categories.groupBy("kind").count().collect()} == {("new", 3000), ("gone", 1500)}
+    assert {x["value"] for x in r.categories.where("kind = 'gone'").collect()} == {str(k) for k in range(1500)}
 
 
 def test_threshold_is_strict():

@@ -11,7 +11,7 @@ from tidemark.operators import kpi
 from tidemark.plans import lens, suggest
 from tidemark.plans.compare import compare
 from tidemark.sinks import narrative, render
-from tidemark.sources.tables import LoadError, load
+from tidemark.sources.tables import load
 from tidemark.streaming.watch import watch
 
 
@@ -27,7 +27,8 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("-m", "--metrics")
     d.add_argument("--no-metrics", action="store_true")
     d.add_argument("--story", action="store_true")
-    d.add_argument("--llm", help="name of a registered provider for the story")
+    d.add_argument("--llm", help=f"who writes the story: {', '.join(narrative.SERVICES)} (each with its key in the environment); a template by default")
+    d.add_argument("--split-by", help="column by whose ranges a database's table is read")
     d.add_argument("-e", "--export", help="write an HTML report")
     d.add_argument("--json", action="store_true")
     d.add_argument("-w", "--watch", action="store_true")
@@ -46,10 +47,10 @@ def _diff(spark: SparkSession, a: argparse.Namespace) -> int:
         except (ValueError, OSError) as e:
             print(f"metrics are skipped: {e}", file=sys.stderr)
     print(f"Loading {a.before} and {a.after}", file=sys.stderr)
-    result = compare(load(spark, a.before), load(spark, a.after), a.scenario, key=a.key, threshold=a.threshold, metrics=metrics)
+    result = compare(load(spark, a.before, split_by=a.split_by), load(spark, a.after, split_by=a.split_by), a.scenario, key=a.key, threshold=a.threshold, metrics=metrics)
     print(result.to_json() if a.json else render.text(result))
-    if a.story:
-        print(f"\n{narrative.story(result, metrics, a.llm)}", file=sys.stderr if a.json else sys.stdout)
+    if a.story and (told := narrative.story(result, metrics, a.llm)):
+        print(f"\n{told}", file=sys.stderr if a.json else sys.stdout)
     if a.export:
         render.write_html(result, a.export)
     return render.exit_code(result)
@@ -65,11 +66,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         code = _diff(spark, a)
         if a.watch:
             try:
-                watch((a.before, a.after), lambda: _diff(spark, a))
+                watch((a.before, a.after), lambda: _diff(spark, a), failed=lambda e: print(f"waiting for the next change: {e}", file=sys.stderr))
             except KeyboardInterrupt:
                 pass
         return code
-    except (LoadError, OSError) as e:
+    except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 

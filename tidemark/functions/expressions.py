@@ -42,7 +42,7 @@ class _Builder:
 
     def column(self, name: str) -> Column:
         if name not in self.columns:
-            raise UnsupportedExpression(f"Column '{name}' not found in dataset")
+            raise UnsupportedExpression(f"no column '{name}'")
         return F.col(f"`{name}`")
 
     def of(self, node: ast.AST) -> Column:

@@ -74,29 +74,42 @@ def _counted(kind: T.DataType) -> bool:
     return is_integral(kind) or is_text(kind) or kind.simpleString().startswith("time(")
 
 
+#: Rows that are looked at first for dates; shares between NO_DATES and ALL_DATES there are taken of all rows.
+SAMPLE, NO_DATES, ALL_DATES = 1000, 0.3, 0.98
+
+
+def _parse_rates(df: DataFrame, names: list[str]) -> dict[str, float | None]:
+    """Share of the non-null values of each text column that read as dates, or None without any."""
+    if not names:
+        return {}
+    row = df.agg(*[F.avg(F.when(col(c).isNotNull(), parsed(col(c)).isNotNull().cast("double"))).alias(f"p{k}") for k, c in enumerate(names)]).first()
+    return {c: row[f"p{k}"] for k, c in enumerate(names)}
+
+
+def parse_rates(df: DataFrame, names: list[str]) -> dict[str, float | None]:
+    """As _parse_rates; the first SAMPLE rows decide where they are clear."""
+    if not names:
+        return {}
+    rates = _parse_rates(df.select(*map(col, names)).limit(SAMPLE), names)
+    unclear = [c for c, p in rates.items() if p is None or NO_DATES < p < ALL_DATES]
+    return rates | _parse_rates(df, unclear)
+
+
 def semantic_types(df: DataFrame, names: list[str] | None = None) -> dict[str, str]:
-    """One aggregate over the columns, with approximate distinct counts; a second, exact one only for columns near a limit."""
+    """One aggregate over the columns, with approximate distinct counts; a second, exact one only for columns near a limit. Dates in texts are told from a sample, and from all rows where it is not clear."""
     kinds = {f.name: f.dataType for f in df.schema if names is None or f.name in names}
     if not kinds:
         return {}
-    measures = [F.count(F.lit(1)).alias("n")]
-    for k, (name, kind) in enumerate(kinds.items()):
-        if _counted(kind):
-            measures.append(F.approx_count_distinct(col(name), RSD).alias(f"d{k}"))
-        if is_text(kind):
-            measures.append(F.avg(F.when(col(name).isNotNull(), parsed(col(name)).isNotNull().cast("double"))).alias(f"p{k}"))
-    row = df.agg(*measures).first().asDict()
-    n, distinct, unsure = max(row["n"], 1), {}, []
-    for k, (name, kind) in enumerate(kinds.items()):
-        if _counted(kind):
-            distinct[name] = row[f"d{k}"]
-            limits = (ID_RATIO,) if is_integral(kind) else (CATEGORY_RATIO, TEXT_RATIO)
-            if any(abs(row[f"d{k}"] / n - x) <= NEAR * x for x in limits) or row["n"] < 1000:
-                unsure.append(name)
+    rates = parse_rates(df, [c for c, kind in kinds.items() if is_text(kind)])
+    counted = [c for c, kind in kinds.items() if _counted(kind) and not (rates.get(c) is not None and rates[c] > PARSE_RATE)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(col(c), RSD).alias(f"d{k}") for k, c in enumerate(counted)]).first()
+    n, distinct = max(row["n"], 1), {c: row[f"d{k}"] for k, c in enumerate(counted)}
+    limits = lambda c: (ID_RATIO,) if is_integral(kinds[c]) else (CATEGORY_RATIO, TEXT_RATIO)
+    unsure = [c for c in counted if row["n"] < 1000 or any(abs(distinct[c] / n - x) <= NEAR * x for x in limits(c))]
     if unsure:
         exact = df.agg(*[F.count_distinct(col(c)).alias(f"d{k}") for k, c in enumerate(unsure)]).first()
         distinct |= {c: exact[k] for k, c in enumerate(unsure)}
-    return {name: classify(name, kind, distinct.get(name, 0) / n, row.get(f"p{k}")) for k, (name, kind) in enumerate(kinds.items())}
+    return {name: classify(name, kind, distinct.get(name, 0) / n, rates.get(name)) for name, kind in kinds.items()}
 
 
 def profile(before: DataFrame, after: DataFrame) -> list[ColumnProfile]:
@@ -107,12 +120,13 @@ def profile(before: DataFrame, after: DataFrame) -> list[ColumnProfile]:
 
 
 def column_summary(df: DataFrame, samples: int = 5) -> list[dict]:
-    """Name, type, distinct values, share of nulls and the first values in order, of each column."""
-    names = df.columns
+    """Name, type, distinct values, share of nulls and the least values (as texts), of each column; one pass, and one more for the values."""
     plain = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(col(c)).alias(f"c{k}") for k, c in enumerate(names)], *[F.count_distinct(col(c)).alias(f"d{names.index(c)}") for c in plain]).first().asDict()
-    out = []
-    for k, f in enumerate(df.schema):
-        head = df.where(col(f.name).isNotNull()).select(col(f.name).cast("string").alias("v")).limit(samples).collect() if f.name in plain else []
-        out.append({"name": f.name, "dtype": f.dataType.simpleString(), "n_unique": row.get(f"d{k}"), "null_pct": round(1 - row[f"c{k}"] / row["n"], 3) if row["n"] else None, "sample": [r["v"] for r in head]})
-    return out
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(col(c)).alias(f"c{k}") for k, c in enumerate(df.columns)], *[F.count_distinct(col(c)).alias(f"d{df.columns.index(c)}") for c in plain]).first().asDict()
+    least: dict[str, list[str]] = {}
+    if plain:
+        values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in plain]))).where(F.col("value").isNotNull())
+        bucket = F.pmod(F.xxhash64("value"), F.lit(101))
+        for r in values.groupBy("column", bucket.alias("bucket")).agg(F.min("value").alias("value")).collect():
+            least.setdefault(r["column"], []).append(r["value"])
+    return [{"name": f.name, "dtype": f.dataType.simpleString(), "n_unique": row.get(f"d{k}"), "null_pct": round(1 - row[f"c{k}"] / row["n"], 3) if row["n"] else None, "sample": sorted(least.get(f.name, []))[:samples]} for k, f in enumerate(df.schema)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-from tidemark.operators.distribution import distribution_findings
+from tidemark.operators.distribution import changed_categories, checked_columns, distribution_findings
 from tidemark.operators.integrity import integrity_findings, schema_findings
 from tidemark.operators.kpi import MetricsConfig, metric_findings
 from tidemark.operators.profile import ColumnProfile, profile
@@ -21,7 +21,8 @@ def compute_diff(before: DataFrame, after: DataFrame, columns: list[ColumnProfil
     found = [*schema_findings(columns), *distribution, *integrity_findings(before, after, columns, key)]
     if metrics and metrics.has_metrics:
         found += metric_findings(before, after, metrics, as_of)
-    return DiffResult(rows_b, rows_a, tuple(found))
+    categories = checked_columns(before, after, columns)["category"]
+    return DiffResult(rows_b, rows_a, tuple(found), categories=changed_categories(before, after, categories) if categories else None)
 
 
 def compare(before: DataFrame, after: DataFrame, scenario: str = "general", **how) -> DiffResult:

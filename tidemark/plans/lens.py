@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
 from tidemark.plans.findings import LAYERS, SEVERITIES, DiffResult
 
 #: scenario: (label, layers promoted, layers demoted); fixed values.
@@ -33,20 +30,3 @@ def apply(result: DiffResult, scenario: str) -> DiffResult:
     found = [replace(f, severity=adjusted(f.severity, f.layer, scenario)) for f in result.findings]
     found.sort(key=lambda f: (-SEVERITIES.index(f.severity), LAYERS.index(f.layer) if f.layer in LAYERS else len(LAYERS)))
     return replace(result, findings=tuple(found), scenario=scenario)
-
-
-def _rank(column: str, order: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.when(F.col(column) == x, F.lit(k)) for k, x in enumerate(order)], F.lit(len(order)))
-
-
-def apply_df(findings: DataFrame, scenario: str) -> DataFrame:
-    """The same on a DataFrame with layer, severity and seq; adds `rank` (0: first)."""
-    from pyspark.sql import window as W
-
-    _, up, down = SCENARIOS.get(scenario, SCENARIOS["general"])
-    step = F.when(F.col("layer").isin(*up), 1).when(F.col("layer").isin(*down), -1).otherwise(0) if up or down else F.lit(0)
-    place = F.least(F.greatest(_rank("severity", SEVERITIES) + step, F.lit(0)), F.lit(3))
-    out = findings.withColumn("severity", F.element_at(F.array(*map(F.lit, SEVERITIES)), place + 1))
-    # findings are few: one row a finding of a comparison
-    w = W.Window.orderBy(-_rank("severity", SEVERITIES), _rank("layer", LAYERS), "seq")
-    return out.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))

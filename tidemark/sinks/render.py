@@ -9,7 +9,7 @@ from tidemark.plans.findings import LAYERS, DiffResult
 from tidemark.plans.lens import label
 
 ICONS = {"FAIL": "❌", "WARN": "⚠️", "INFO": "ℹ️", "PASS": "✅"}
-TITLES = {"schema": "Schema Changes", "integrity": "Integrity Checks", "distribution": "Distribution Changes", "custom": "Custom Metrics (metrics.yaml)"}
+TITLES = {"schema": "Columns", "integrity": "Keys", "distribution": "Values", "custom": "Declared metrics"}
 
 
 def _counts(result: DiffResult) -> dict[str, int]:
@@ -64,4 +64,4 @@ def write_html(result: DiffResult, path: str) -> None:
 
 
 def exit_code(result: DiffResult) -> int:
-    return int(result.has_failures)
+    return int(result.summary_severity == "FAIL")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import sqlite3
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -78,7 +79,7 @@ def _kind(values: list):
     return {frozenset({bool}): BooleanType(), frozenset({datetime}): TimestampNTZType()}.get(frozenset(kinds), StringType())
 
 
-def _fitted(rows: list, schema: StructType) -> Iterator[tuple]:
+def _fitted(rows: Iterable, schema: StructType) -> Iterator[tuple]:
     cast = [float if isinstance(f.dataType, DoubleType) else str if isinstance(f.dataType, StringType) else lambda v: v for f in schema]
     for r in rows:
         yield tuple(None if v is None else f(v) for f, v in zip(cast, r, strict=True))
@@ -93,7 +94,7 @@ class _Rows(DataSourceReader):
 
 
 class XlsxSource(DataSource):
-    """First sheet of a spreadsheet; option path."""
+    """First sheet of a spreadsheet; option path. A sheet has at most 1,048,576 rows, so one task reads it; types are those of all its values."""
 
     @classmethod
     def name(cls) -> str:
@@ -116,15 +117,56 @@ def first_table(path: str) -> str:
     return found[0]
 
 
-def read_sqlite(path: str, table: str) -> tuple[list[str], list[tuple]]:
-    quoted = '"' + table.replace('"', '""') + '"'
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        cursor = db.execute(f"SELECT * FROM {quoted}")
-        return [x[0] for x in cursor.description], cursor.fetchall()
+def _open(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def sqlite_schema(path: str, table: str) -> StructType:
+    """By the kinds of values that each column has, counted inside SQLite; no row is fetched."""
+    with _open(path) as db:
+        names = [x[0] for x in db.execute(f"SELECT * FROM {_quoted(table)} LIMIT 0").description]
+        fields = []
+        for c in names:
+            kinds = {r[0] for r in db.execute(f"SELECT DISTINCT typeof({_quoted(c)}) FROM {_quoted(table)}")} - {"null"}
+            fields.append(StructField(c, LongType() if kinds == {"integer"} else DoubleType() if kinds and kinds <= {"integer", "real"} else StringType()))
+    return StructType(fields)
+
+
+@dataclass
+class RowidRange(InputPartition):
+    first: int | None = None
+    last: int | None = None
+
+
+class _SqliteReader(DataSourceReader):
+    """Ranges of rowids are read side by side, row by row; a table without rowids is one range."""
+
+    def __init__(self, path: str, table: str, schema: StructType, rows: int):
+        self.path, self.table, self.schema, self.rows = path, table, schema, rows
+
+    def partitions(self) -> list[RowidRange]:
+        with _open(self.path) as db:
+            try:
+                first, last = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+            except sqlite3.OperationalError:
+                return [RowidRange()]
+        if not isinstance(first, int) or not isinstance(last, int):
+            return [RowidRange()]
+        step = max(self.rows, (last - first) // 1000 + 1)
+        return [RowidRange(k, min(last, k + step - 1)) for k in range(first, last + 1, step)]
+
+    def read(self, partition: RowidRange) -> Iterator[tuple]:
+        within = "" if partition.first is None else f" WHERE rowid BETWEEN {partition.first} AND {partition.last}"
+        with _open(self.path) as db:
+            yield from _fitted(db.execute(f"SELECT * FROM {_quoted(self.table)}{within}"), self.schema)
 
 
 class SqliteSource(DataSource):
-    """A table of a SQLite file; options path and table (default: the first by name)."""
+    """A table of a SQLite file; options path, table (default: the first by name) and rows (rowids of a partition, at least)."""
 
     @classmethod
     def name(cls) -> str:
@@ -134,9 +176,7 @@ class SqliteSource(DataSource):
         return self.options.get("table") or first_table(self.options["path"])
 
     def schema(self) -> StructType:
-        names, rows = read_sqlite(self.options["path"], self._table())
-        return StructType([StructField(n, _kind([r[k] for r in rows])) for k, n in enumerate(names)])
+        return sqlite_schema(self.options["path"], self._table())
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        path, table = self.options["path"], self._table()
-        return _Rows(lambda: read_sqlite(path, table), schema)
+        return _SqliteReader(self.options["path"], self._table(), schema, int(self.options.get("rows", 500_000)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import os
 import re
-from urllib.parse import urlsplit, urlunsplit
+from urllib.parse import unquote, urlsplit, urlunsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,17 +42,36 @@ def normalised(df: DataFrame, widen: bool = False) -> DataFrame:
     return df.select([out.get(n, F.col(f"`{n}`")).alias(n) for n in df.columns]) if out else df
 
 
+def _quote(mysql: bool) -> str:
+    return "`" if mysql else '"'
+
+
 def jdbc_options(source: str) -> dict[str, str]:
-    """Options of Spark's JDBC reader for address::table (the last :: counts)."""
+    """Options of Spark's JDBC reader for address::table (the last :: counts). Users and passwords may be percent-encoded; the table's name is quoted as the database does."""
     address, mark, name = source.rpartition("::")
     if not mark or not name:
         raise LoadError(f"a database source needs a table, as in address::table: {masked(source)}")
     prefix = next(p for p in DATABASES if address.startswith(p))
     parts = urlsplit(address)
-    options = {"dbtable": name, "url": f"jdbc:{urlunsplit((DATABASES[prefix], (parts.hostname or '') + (f':{parts.port}' if parts.port else ''), parts.path, parts.query, ''))}"}
+    quote = _quote(DATABASES[prefix] == "mysql")
+    options = {"dbtable": quote + name.replace(quote, 2 * quote) + quote, "url": f"jdbc:{urlunsplit((DATABASES[prefix], (parts.hostname or '') + (f':{parts.port}' if parts.port else ''), parts.path, parts.query, ''))}"}
     if DATABASES[prefix] == "sqlserver":
         options["url"] = f"jdbc:sqlserver://{parts.hostname}{f':{parts.port}' if parts.port else ''};databaseName={parts.path.lstrip('/')}"
-    return options | ({"user": parts.username} if parts.username else {}) | ({"password": parts.password} if parts.password else {})
+    return options | {k: unquote(v) for k, v in (("user", parts.username), ("password", parts.password)) if v}
+
+
+def jdbc(spark: SparkSession, options: dict[str, str], split_by: str | None = None, parts: int = 32) -> DataFrame:
+    """A table of a database; split_by, a column of numbers or dates, is read in so many ranges between its bounds side by side."""
+    read = spark.read.format("jdbc").options(**options)
+    if split_by is None:
+        return read.load()
+    table = {k: v for k, v in options.items() if k != "dbtable"}
+    quote = _quote(options["url"].startswith("jdbc:mysql"))
+    column = quote + split_by.replace(quote, 2 * quote) + quote
+    bounds = spark.read.format("jdbc").options(**table).option("query", f"SELECT MIN({column}) AS a, MAX({column}) AS b FROM {options['dbtable']}").load().first()
+    if bounds[0] is None:
+        return read.load()
+    return read.option("partitionColumn", split_by).option("lowerBound", str(bounds[0])).option("upperBound", str(bounds[1])).option("numPartitions", str(parts)).load()
 
 
 def _delimiter(head: str) -> str:
@@ -64,10 +83,17 @@ def _delimiter(head: str) -> str:
 
 def _head(spark: SparkSession, path: str) -> str:
     """The first lines, through Spark, so that any store will do."""
-    return "\n".join(r[0] for r in spark.read.text(path).limit(20).collect())
+    return "\n".join(r[0] for r in spark.read.text(path).limit(1000).collect())
+
+
+def has_quoted_breaks(head: str) -> bool:
+    """Whether a quoted value goes over the end of a line: then a quote is open there."""
+    return any(head[: m.start()].count('"') % 2 for m in re.finditer("\n", head)) if '"' in head else False
 
 
-def load(spark: SparkSession, source: str) -> DataFrame:
+def load(spark: SparkSession, source: str, multi_line: bool | None = None, split_by: str | None = None) -> DataFrame:
+    """Any source as a DataFrame. multi_line: whether values of a CSV file hold line breaks, which forbids to read it in parts (None: if the first lines
+    do); split_by: a column by whose ranges a database's table is read side by side."""
     if is_database(source):
         if source.startswith("sqlite:///"):
             path, mark, name = source.removeprefix("sqlite:///").rpartition("::")
@@ -75,7 +101,7 @@ def load(spark: SparkSession, source: str) -> DataFrame:
                 raise LoadError(f"a database source needs a table, as in address::table: {source}")
             return _sqlite(spark, path, name)
         try:
-            return normalised(spark.read.format("jdbc").options(**jdbc_options(source)).load())
+            return normalised(jdbc(spark, jdbc_options(source), split_by))
         except LoadError:
             raise
         except Exception as e:
@@ -91,7 +117,9 @@ def load(spark: SparkSession, source: str) -> DataFrame:
         if suffix == ".parquet":
             return normalised(spark.read.parquet(source))
         if suffix == ".csv":
-            read = spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"').option("sep", _delimiter(_head(spark, source)))
+            head = _head(spark, source)
+            read = spark.read.option("header", True).option("inferSchema", True).option("escape", '"').option("sep", _delimiter(head))
+            read = read.option("multiLine", has_quoted_breaks(head) if multi_line is None else multi_line)
             return normalised(read.csv(source), widen=True)
         if suffix == ".json":
             return normalised(spark.read.option("multiLine", _head(spark, source).lstrip().startswith("[")).json(source), widen=True)

@@ -18,14 +18,21 @@ def _stamps(paths: tuple[str, ...]) -> tuple:
     return tuple(newest(p) if os.path.exists(p) else None for p in paths)
 
 
-def watch(paths: tuple[str, ...], rerun: Callable[[], object], every: float = 1.0, rounds: int | None = None) -> int:
-    """Call rerun when one of paths changes; both sides are watched. rounds bounds the looks (None: for ever); returns the reruns."""
+def watch(paths: tuple[str, ...], rerun: Callable[[], object], every: float = 1.0, rounds: int | None = None, failed: Callable[[Exception], object] | None = None) -> int:
+    """Call rerun when one of paths changes; both sides are watched. rounds bounds the looks (None: for ever); returns the reruns.
+
+    A rerun that fails, as on a file that is still being written, does not end the watch: `failed` is told, and the next look tries again.
+    """
     seen, n = _stamps(paths), 0
     while rounds is None or rounds > 0:
         time.sleep(every)
         if (now := _stamps(paths)) != seen and None not in now:
             seen, n = now, n + 1
-            rerun()
+            try:
+                rerun()
+            except Exception as e:
+                (failed or (lambda _: None))(e)
+                seen = ()  # not even the same state has been compared
         rounds = None if rounds is None else rounds - 1
     return n
 
