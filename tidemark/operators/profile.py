@@ -126,7 +126,7 @@ def column_summary(df: DataFrame, samples: int = 5) -> list[dict]:
     plain = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(col(c)).alias(f"c{k}") for k, c in enumerate(df.columns)], *[F.count_distinct(col(c)).alias(f"d{df.columns.index(c)}") for c in plain]).first().asDict()
     least: dict[str, list[str]] = {}
-    if plain:
+    if plain and samples:
         values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in plain]))).where(F.col("value").isNotNull())
         bucket = F.pmod(F.xxhash64("value"), F.lit(101))
         for r in values.groupBy("column", bucket.alias("bucket")).agg(F.min("value").alias("value")).collect():

@@ -74,7 +74,7 @@ def profile_ndv(b: DataFrame, a: DataFrame) -> DataFrame:
     rows = []
     for side, df in (("before", b), ("after", a)):
         n = max(dist.basics(df, [], [], [])["rows"], 1)
-        rows += [(side, c["name"], c["n_unique"], round(c["n_unique"] / n, 6)) for c in summaries(df)]
+        rows += [(side, c["name"], c["n_unique"], round(c["n_unique"] / n, 6)) for c in summaries(df, samples=0)]
     return b.sparkSession.createDataFrame(rows, "side string, column string, ndv bigint, ratio double")
 
 
@@ -231,7 +231,7 @@ def diff_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_summary(b: DataFrame, a: DataFrame) -> DataFrame:
-    return b.sparkSession.createDataFrame([(c["name"], c["dtype"], c["n_unique"], c["null_pct"]) for c in summaries(b)], "name string, dtype string, n_unique bigint, null_pct double")
+    return b.sparkSession.createDataFrame([(c["name"], c["dtype"], c["n_unique"], c["null_pct"]) for c in summaries(b, samples=0)], "name string, dtype string, n_unique bigint, null_pct double")
 
 
 #: Ways of writing a date, by the last digit of the key (Spark's pattern, DuckDB's pattern); 9: no date.
