@@ -7,6 +7,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,19 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+#: Whether Spark removes the shuffle files of a query at its end; else they stay until the driver happens to collect its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+    """df as a table at path, read again. The shuffle files that its making took are removed with its end; the table needs them no more."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,13 +81,25 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Removes at its end what written() made inside; DataFrames that read it must have been used by then."""
-    mark = len(_WRITTEN)
+    """Removes at its end what written() made inside; DataFrames that read it must have been used by then.
+
+    With `last` set on what it yields, the table that was written last is kept, for it is the result.
+    """
+    mark, keep = len(_WRITTEN), _Keep()
     try:
-        yield
+        yield keep
     finally:
-        while len(_WRITTEN) > mark:
-            remove(spark, _WRITTEN.pop())
+        own = _WRITTEN[mark:]
+        del _WRITTEN[mark:]
+        if keep.last and own:
+            _WRITTEN.append(own.pop())
+        for path in reversed(own):
+            remove(spark, path)
+
+
+@dataclass
+class _Keep:
+    last: bool = False
 
 
 def crc_mod(col: str, m: int) -> Column:

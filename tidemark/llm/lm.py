@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import crc_mod, raw_texts, weighted_blocks, written
+from tidemark.llm._shared import crc_mod, raw_texts, scratch, weighted_blocks, written
 
 #: Key of the end of text, also the history of a text's first token.
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -282,10 +282,13 @@ def exchanged(parts: DataFrame, n_blocks: int, width: int, dealt: int = BITS, ch
     chunks = math.ceil(n_blocks / chunk)
     if chunks <= 1:
         return written(parts.groupBy("bucket").applyInArrow(_sums, REPLIES), "replies")
-    parts = written(parts.withColumn("chunk", F.pmod(F.xxhash64("block"), F.lit(chunks))), "parts")
-    merged = parts.groupBy("bucket", "chunk").applyInArrow(lambda group: _next_round(group, depth, width, dealt), PARTS)
-    answers = exchanged(merged, chunks, width, dealt, chunk, depth + 1).withColumn("up", F.shiftright("bucket", dealt))
-    return written(parts.groupBy("bucket", "chunk").cogroup(answers.groupBy("up", "block")).applyInArrow(_back, REPLIES), "replies")
+    with scratch(parts.sparkSession) as tables:
+        parts = written(parts.withColumn("chunk", F.pmod(F.xxhash64("block"), F.lit(chunks))), "parts")
+        merged = parts.groupBy("bucket", "chunk").applyInArrow(lambda group: _next_round(group, depth, width, dealt), PARTS)
+        answers = exchanged(merged, chunks, width, dealt, chunk, depth + 1).withColumn("up", F.shiftright("bucket", dealt))
+        replies = written(parts.groupBy("bucket", "chunk").cogroup(answers.groupBy("up", "block")).applyInArrow(_back, REPLIES), "replies")
+        tables.last = True
+    return replies
 
 
 def _totals(row: dict, name: str) -> Counts:
