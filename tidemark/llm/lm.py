@@ -283,7 +283,9 @@ def exchanged(parts: DataFrame, n_blocks: int, width: int, dealt: int = BITS, ch
     if chunks <= 1:
         return written(parts.groupBy("bucket").applyInArrow(_sums, REPLIES), "replies")
     with scratch(parts.sparkSession) as tables:
-        parts = written(parts.withColumn("chunk", F.pmod(F.xxhash64("block"), F.lit(chunks))), "parts")
+        parts = parts.withColumn("chunk", F.pmod(F.xxhash64("block"), F.lit(chunks)))
+        if depth > 1:  # the first ones are made anew from their blocks on the way back, which takes less disk than a table of them
+            parts = written(parts, "parts")
         merged = parts.groupBy("bucket", "chunk").applyInArrow(lambda group: _next_round(group, depth, width, dealt), PARTS)
         answers = exchanged(merged, chunks, width, dealt, chunk, depth + 1).withColumn("up", F.shiftright("bucket", dealt))
         replies = written(parts.groupBy("bucket", "chunk").cogroup(answers.groupBy("up", "block")).applyInArrow(_back, REPLIES), "replies")
